@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle as op1_oracle
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_language": op2_language,
     "op9_toxicity": op9_toxicity,
 }
 

@@ -143,7 +143,7 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds:
         yield pa.RecordBatch.from_pydict({"i": [index.astype(np.int32).tobytes()], "w": [weight.astype(np.float32).tobytes()], "b": [bias], "p": [seen], "n": [len(got) - seen]})
 
     # of the sample, which is bounded, one task learns
-    out = rows.coalesce(1).mapInArrow(train, "i binary, w binary, b double, p long, n long").first()
+    out = rows.repartition(1).mapInArrow(train, "i binary, w binary, b double, p long, n long").first()
     if out is None or not out.p or not out.n:
         share = totals[1] / sum(totals.values())
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extract import op7_html
 from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle as op1_oracle
@@ -14,6 +15,7 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
+    "op7_html": op7_html,
     "op9_toxicity": op9_toxicity,
 }
 

@@ -10,11 +10,13 @@ from .html_extract import op7_html
 from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle as op1_oracle
+from .lz_fingerprint import op6_fingerprint
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
+    "op6_fingerprint": op6_fingerprint,
     "op7_html": op7_html,
     "op9_toxicity": op9_toxicity,
 }

@@ -11,6 +11,7 @@ from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle as op1_oracle
 from .lz_fingerprint import op6_fingerprint
+from .packing import op8_packing
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op6_fingerprint": op6_fingerprint,
     "op7_html": op7_html,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
 

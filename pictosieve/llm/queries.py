@@ -11,6 +11,8 @@ from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle as op1_oracle
 from .lz_fingerprint import op6_fingerprint
+from .mixing import ORACLE as OP10_ORACLE
+from .mixing import op10_mixing
 from .packing import op8_packing
 from .toxicity import op9_toxicity
 
@@ -21,8 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html": op7_html,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_licenses": op1_oracle(),
+    "op10_mixing": OP10_ORACLE,
 }

@@ -14,11 +14,13 @@ from .lz_fingerprint import op6_fingerprint
 from .mixing import ORACLE as OP10_ORACLE
 from .mixing import op10_mixing
 from .packing import op8_packing
+from .simhash import op5_simhash
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
+    "op5_simhash": op5_simhash,
     "op6_fingerprint": op6_fingerprint,
     "op7_html": op7_html,
     "op8_packing": op8_packing,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op4_ann
 from .html_extract import op7_html
 from .langid import op2_language
 from .licenses import op1_licenses
@@ -20,6 +21,7 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
+    "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
     "op6_fingerprint": op6_fingerprint,
     "op7_html": op7_html,

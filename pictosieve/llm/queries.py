@@ -11,6 +11,7 @@ from .html_extract import op7_html
 from .langid import op2_language
 from .licenses import op1_licenses
 from .licenses import oracle as op1_oracle
+from .line_dedup import op3_line_dedup
 from .lz_fingerprint import op6_fingerprint
 from .mixing import ORACLE as OP10_ORACLE
 from .mixing import op10_mixing
@@ -21,6 +22,7 @@ from .toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
+    "op3_line_dedup": op3_line_dedup,
     "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
     "op6_fingerprint": op6_fingerprint,

@@ -1,10 +1,7 @@
-"""What the operators of this subpackage share: reading tables, mapping blocks of texts, shared storage."""
+"""What the operators of this subpackage share: reading tables and mapping blocks of texts."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut  # noqa: F401  the operators take it from here
 from .blocks import BLOCK_BYTES, Block, blocks
 
 
@@ -74,24 +72,6 @@ def column(block: Block, name: str) -> pa.Array:
     return block.rows.column(block.rows.schema.get_field_index(name))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: as the cluster names it, else (as in tests) a local one of our own."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there: it survives lost executors."""
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
-
-
 def crc32_mod(id_column: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % n

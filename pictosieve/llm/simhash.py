@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .blocks import Block, mix
 from .common import cut, map_blocks, table
-from .graphs import components
 
 BITS, SEED, SHINGLE = 2, 42, 3
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

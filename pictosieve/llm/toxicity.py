@@ -88,27 +88,27 @@ def _as_often(index: np.ndarray, times: int) -> np.ndarray:
 
 
 def _ftrl(rows: list[tuple[np.ndarray, int]], b: Bounds) -> tuple[np.ndarray, np.ndarray, float]:
-    size = (1 << BITS) + 1  # the last is the bias, which L1 leaves alone
+    # the bias stays at the log-odds of the classes, so that a text without evidence gets their share
+    size, share = 1 << BITS, (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
+    bias = float(np.log(share / (1 - share)))
     z, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
     l1 = np.float32(b.l1)
 
     def weights(i: np.ndarray) -> np.ndarray:
         w = -(z[i] - np.sign(z[i]) * l1) / ((b.beta + np.sqrt(n[i])) / b.alpha + b.l2)
         w[np.abs(z[i]) <= l1] = 0
-        w[-1] = -z[-1] / ((b.beta + np.sqrt(n[-1])) / b.alpha)
         return w
 
     for _ in range(b.epochs):
-        for at, label in rows:
-            i = np.append(at, size - 1)
+        for i, label in rows:
             w = weights(i)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - label
             was = n[i]
             z[i] += g - (np.sqrt(was + g * g) - np.sqrt(was)) / b.alpha * w
             n[i] = was + g * g
     full = weights(np.arange(size))
-    index = np.flatnonzero(full[:-1])
-    return index, full[index], float(full[-1])
+    index = np.flatnonzero(full)
+    return index, full[index], bias
 
 
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds: Bounds = Bounds()) -> Model:

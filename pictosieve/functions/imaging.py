@@ -6,14 +6,16 @@ Headers are parsed in Arrow batches of the files' first bytes; pixels come from
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scalars import ahash, dhash
+from .scalars import ahash, dhash, thumbnail_side
 
 #: Bytes of a file in which its header is looked for.
 HEADER = 131072
@@ -176,3 +178,32 @@ def decoded(spark: SparkSession, *paths: str) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), F.lit(across * down - 1)), lum)
 
     return pixels.withColumn("g9", grid(9, 8)).withColumn("g8", grid(8, 8)).select("path", "width", "height", dhash(F.col("g9")).alias("d_hash"), ahash(F.col("g8")).alias("a_hash"))
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    """Rows of red, green, blue as a PNG file."""
+    h, w, _ = pixels.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], axis=1).tobytes()
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def thumbnails(spark: SparkSession, *paths: str, most: int = 400) -> DataFrame:
+    """path, width, height, thumbnail: a PNG of nearest pixels, its longer side at most ``most``, as base64."""
+
+    @F.pandas_udf(T.BinaryType())
+    def shrink(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for d, sw, sh, c, tw, th in zip(data, width, height, channels, w, h, strict=True):
+            source = np.frombuffer(bytes(d), np.uint8).reshape(sh, sw, c)
+            some = source[np.arange(th) * sh // th][:, np.arange(tw) * sw // tw]
+            out.append(_png(np.ascontiguousarray(some[..., 2::-1] if c > 1 else np.repeat(some, 3, axis=2))))
+        return pd.Series(out)
+
+    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(list(paths))
+    pixels = images.select(F.regexp_replace("image.origin", "^file:(//)?", "").alias("path"), F.col("image.data").alias("data"), F.col("image.width").alias("sw"), F.col("image.height").alias("sh"), F.col("image.nChannels").alias("c"))
+    sized = pixels.withColumn("width", thumbnail_side(F.col("sw"), F.col("sh"), most)).withColumn("height", thumbnail_side(F.col("sh"), F.col("sw"), most))
+    return sized.select("path", "width", "height", F.base64(shrink("data", "sw", "sh", "c", "width", "height")).alias("thumbnail"))

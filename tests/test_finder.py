@@ -112,6 +112,19 @@ def test_scan_of_real_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
 
 
+def test_thumbnails_and_pixel_hashes(spark, tmp_path):
+    import base64
+
+    (tmp_path / "x.png").write_bytes(png(30, 20, lambda x, y: (x * 8, y * 9, 5)))
+    got = imaging.thumbnails(spark, str(tmp_path), most=15).first()
+    data = base64.b64decode(got.thumbnail)
+    assert (got.width, got.height) == (15, 10) == imaging.dimensions(data)
+    assert zlib.decompress(data[data.index(b"IDAT") + 4 :])[1:7] == bytes((0, 0, 5, 16, 0, 5))
+    # luminance falls nowhere along a row, and the lower rows are lighter
+    hashed = imaging.decoded(spark, str(tmp_path)).first()
+    assert hashed.d_hash == 0 and 20 <= (hashed.a_hash % (1 << 64)).bit_count() <= 44
+
+
 def test_headers():
     entry = lambda tag, kind, n, value: struct.pack("<HHI", tag, kind, n) + value
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 3) + entry(0x0110, 2, 3, b"X1\0\0") + entry(0x8827, 3, 1, struct.pack("<HH", 200, 0)) + entry(0x0132, 2, 20, struct.pack("<I", 60))

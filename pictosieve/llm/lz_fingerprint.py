@@ -1,7 +1,7 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-Each text is parsed as LZ78 does: the next phrase is the shortest piece that is not in the dictionary
-yet. The phrases' hashes make the text's set, and the ``SIZE`` smallest its signature, written as hex.
+Each text's UTF-8 bytes are parsed as LZ78 does: the next phrase is the shortest piece that is not in
+the dictionary yet. The phrases' hashes make the text's set, and the ``SIZE`` smallest its signature, written as hex.
 The likeness of two signatures estimates the Jaccard similarity of the phrase sets (exact for sets of at
 most ``SIZE``), which is high for texts that would compress well together.
 
@@ -21,60 +21,59 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, mix
 from .common import table
 
 #: Hashes in a signature.
 SIZE = 64
 
 
-def parse(text: str, seen: set[str], found: list[str], start: int = 0) -> None:
-    """Add the phrases of ``text`` from ``start`` on to the dictionary ``seen`` and, in order, to ``found``.
+def feed(tree: dict[int, int], node: int, data: bytes) -> int:
+    """Parse on from ``node`` (0: between phrases); gives the node after ``data``.
 
-    Every beginning of a phrase is in the dictionary too, so the longest known piece can be sought from
-    a guess (the last phrase's length) up or down.
+    ``tree`` is the dictionary: it leads from a phrase's node and the next byte, as one number, to the
+    longer phrase's node, which is 256 times its number. A byte that leads nowhere ends a phrase.
     """
-    n, guess = len(text), 4
-    add, keep = seen.add, found.append
-    while start < n:
-        end = start + guess
-        if end <= n and text[start:end] in seen:
-            end += 1
-            while end <= n and text[start:end] in seen:
-                end += 1
-            if end > n:
-                return  # what is left is known
+    get, new = tree.get, len(tree) << 8
+    for byte in data:
+        key = node | byte
+        to = get(key)
+        if to is None:
+            new += 256
+            tree[key] = new
+            node = 0
         else:
-            end = min(end, n)
-            if end - start < guess and text[start:end] in seen:
-                return
-            end -= 1
-            while end > start and text[start:end] not in seen:
-                end -= 1
-            end += 1
-        piece = text[start:end]
-        add(piece)
-        keep(piece)
-        guess = end - start
-        start = end
-
-
-def _hashed(phrases: list[str]) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    return [digest(p) >> 32 for p in phrases]
-
-
-def _signature(hashes: set[int]) -> list[int]:
-    return sorted(hashes)[:SIZE]
-
-
-def _text(signature: list[int]) -> str:
-    return "".join(f"{h:08x}" for h in signature)
+            node = to
+    return node
+
+
+def signature(tree: dict[int, int]) -> list[int]:
+    """The smallest hashes of the phrases; a phrase's hash continues that of the phrase it prolongs."""
+    keys = np.fromiter(tree.keys(), np.int64, len(tree))
+    before, byte = keys >> 8, (keys & 255).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(keys) + 1, np.uint64)
+    waits = np.arange(len(keys))
+    known = np.zeros(len(keys) + 1, bool)
+    known[0] = True
+    while len(waits):
+        ready = known[before[waits]]
+        now = waits[ready]
+        h[now + 1] = mix(h[before[now]] * np.uint64(0x9E3779B97F4A7C15) + byte[now])
+        known[now + 1] = True
+        waits = waits[~ready]
+    found = h[1:] >> np.uint64(32)
+    if len(found) > 4 * SIZE:
+        found = np.partition(found, 2 * SIZE)[: 2 * SIZE + 1]
+    return np.unique(found)[:SIZE].tolist()
+
+
+def _text(smallest: list[int]) -> str:
+    return "".join(f"{h:08x}" for h in smallest)
 
 
 def likeness(a: list[int], b: list[int]) -> float:
@@ -86,29 +85,25 @@ def likeness(a: list[int], b: list[int]) -> float:
 
 
 class Parsed:
-    __slots__ = ("hashes", "phrases", "signature", "text")
+    """A text's signature, and the state of the parse where its second half begins."""
+
+    __slots__ = ("half", "node", "signature", "stays", "text", "tree")
 
     def __init__(self, text: str):
-        self.text, self.phrases = text, []
-        parse(text, set(), self.phrases)
-        self.hashes = _hashed(self.phrases)
-        self.signature = _signature(set(self.hashes))
+        self.text, self.half = text, len(text) // 2
+        self.stays = text[: len(text) - self.half]
+        tree: dict[int, int] = {}
+        start = self.stays.encode()
+        self.node = feed(tree, 0, start)
+        self.tree = tree.copy()
+        feed(tree, self.node, text.encode()[len(start) :])
+        self.signature = signature(tree)
 
     def edited(self, other: str) -> tuple[str, list[int]]:
-        """The text with its second half replaced by the beginning of another, and its signature.
-
-        Phrases that end in the first half are those of the text itself.
-        """
-        half = len(self.text) // 2
-        stays = len(self.text) - half
-        text = self.text[:stays] + other[:half]
-        at = k = 0
-        while k < len(self.phrases) and at + len(self.phrases[k]) <= stays:
-            at += len(self.phrases[k])
-            k += 1
-        more: list[str] = []
-        parse(text, set(self.phrases[:k]), more, at)
-        return text, _signature({*self.hashes[:k], *_hashed(more)})
+        """The text with its second half replaced by the beginning of another, and its signature; once."""
+        new = other[: self.half]
+        feed(self.tree, self.node, new.encode())
+        return self.stays + new, signature(self.tree)
 
 
 def fingerprint(text: str | None) -> str:
@@ -151,8 +146,8 @@ def with_next(documents: DataFrame) -> DataFrame:
                 now = Parsed(block.bytes_of(i).decode("utf-8", "replace"))
                 if held:
                     was_id, was = held
-                    text, signature = was.edited(now.text)
-                    rows.append((was_id, len(was.text), hashlib.sha256(text.encode()).hexdigest(), _text(was.signature), _text(signature), likeness(was.signature, signature), likeness(was.signature, now.signature)))
+                    text, smallest = was.edited(now.text)
+                    rows.append((was_id, len(was.text), hashlib.sha256(text.encode()).hexdigest(), _text(was.signature), _text(smallest), likeness(was.signature, smallest), likeness(was.signature, now.signature)))
                 held, done = (doc_id, now), ahead
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

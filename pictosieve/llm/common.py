@@ -25,11 +25,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows that go to Python at once, at most: with texts of some thousand bytes, some MB.
+ARROW_ROWS = 2000
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Bound what a Python worker and its JVM hold of a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+
+
 def map_blocks(df: DataFrame, fn: Callable[[Block], dict[str, object]], added: str, text: str = "text", keep: Iterable[str] | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """``df``'s columns ``keep`` (all if None) with the columns that ``fn`` makes of each block.
 
     ``added`` is a DDL string of the new columns, whose names must not be among the kept.
     """
+    _small_batches(df)
     keep = list(df.columns if keep is None else keep)
     read = list(dict.fromkeys([*keep, text]))
     new = T._parse_datatype_string(added)
@@ -51,6 +63,7 @@ def map_blocks(df: DataFrame, fn: Callable[[Block], dict[str, object]], added: s
 
 def map_rows(df: DataFrame, fn: Callable[[Block], Iterable[dict[str, object]]], schema: str, text: str = "text", read: Iterable[str] = (), most: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``schema`` that ``fn`` makes of each block of ``df``; a dict has the columns of some rows."""
+    _small_batches(df)
     kind = T._parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

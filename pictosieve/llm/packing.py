@@ -22,6 +22,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,9 @@ from .common import column, cut, map_rows, table
 SIZE = 2048
 END = 0
 #: Pieces of text whose ids a task keeps.
-KEPT = 200_000
+KEPT = 400_000
+#: Bytes up to which they stay when there are too many.
+SHORT = 9
 #: Bound of the broadcast slots.
 MOST_SLOTS = 400_000
 
@@ -54,29 +57,66 @@ class Encoder:
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
         self.end = np.array([END], "<u4").tobytes()
+        self.marks = dict(zip(b".,", self._ids([".", ","]), strict=True))
+
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(b".,", self._ids([".", ","]), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded together; each has one id that ends a word, its last."""
+        made = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        last = (np.flatnonzero(self.ends[made]) + 1) * 4
+        if len(last) != len(texts):
+            return self._ids(texts)
+        data, ends = made.tobytes(), last.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Ids of pieces that are not kept. A full stop or comma after an ASCII letter is a token of its own."""
+        kept, marks = self.kept, self.marks
+        bare = {p[:-1] if p[-1] in marks and p[:-1].isalpha() else p for p in new}
+        lower = {p.lower() if p.isalpha() else p for p in bare if p not in kept}
+        todo = [p for p in lower if p not in kept]
+        texts = [p.decode("utf-8", "replace") for p in todo]
+        for some, encode in (([i for i, t in enumerate(texts) if t.isalpha()], self._words), ([i for i, t in enumerate(texts) if not t.isalpha()], self._ids)):
+            kept.update(zip((todo[i] for i in some), encode([texts[i] for i in some]), strict=True))
+        for p in bare:
+            if p not in kept:
+                kept[p] = kept[p.lower()]
+        for p in new:
+            if p not in kept:
+                kept[p] = kept[p[:-1]] + marks[p[-1]]
 
     def __call__(self, text: bytes) -> bytes:
-        pieces = text.split()
-        kept = self.kept
-        if new := list({p for p in pieces if p not in kept}):
-            if len(kept) > KEPT:
-                kept.clear()
-                new = list(set(pieces))
-            for piece, made in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-                kept[piece] = np.array(made.ids, "<u4").tobytes()
+        pieces, kept = text.split(), self.kept
+        if new := {p for p in pieces if p not in kept}:
+            if len(kept) > KEPT:  # short pieces are the frequent ones
+                self.kept = kept = {p: ids for p, ids in kept.items() if len(p) <= SHORT}
+                if len(kept) > KEPT // 2:
+                    kept.clear()
+                new = {p for p in pieces if p not in kept}
+            self._learn(new)
         return b"".join([kept[p] for p in pieces]) + self.end
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """Kept from task to task of a worker."""
+    return Encoder(path)
+
+
 def pieces(documents: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
-    kept: list[Encoder] = []
 
     def made(block: Block) -> Iterator[dict[str, object]]:
-        if not kept:
-            kept.append(Encoder(path))
+        encode = encoder(path)
         rows, of, start, length, crc = [], [], [], [], []
         for i in range(block.n):
-            ids = memoryview(kept[0](block.bytes_of(i)))
+            ids = memoryview(encode(block.bytes_of(i)))
             n = len(ids) // 4
             for j, at in enumerate(range(0, n, size)):
                 rows.append(i)

@@ -19,7 +19,9 @@ ids stay null; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,6 +50,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Ids of whole texts, as the bytes of little-endian unsigned 32-bit numbers, with the end id."""
 
@@ -68,7 +77,7 @@ class Encoder:
 
     def _words(self, texts: list[str]) -> list[bytes]:
         """Ids of words of letters, encoded together; each has one id that ends a word, its last."""
-        made = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        made = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
         last = (np.flatnonzero(self.ends[made]) + 1) * 4
         if len(last) != len(texts):
             return self._ids(texts)
@@ -82,8 +91,13 @@ class Encoder:
         lower = {p.lower() if p.isalpha() else p for p in bare if p not in kept}
         todo = [p for p in lower if p not in kept]
         texts = [p.decode("utf-8", "replace") for p in todo]
-        for some, encode in (([i for i, t in enumerate(texts) if t.isalpha()], self._words), ([i for i, t in enumerate(texts) if not t.isalpha()], self._ids)):
-            kept.update(zip((todo[i] for i in some), encode([texts[i] for i in some]), strict=True))
+        model, plain, letters, other = self.tokenizer.model, [], [], []
+        for p, t in zip(todo, texts, strict=True):
+            (plain if p.islower() and p.isalpha() else letters if t.isalpha() else other).append((p, t))
+        for p, t in plain:  # ASCII letters are what the model itself takes
+            kept[p] = _packed([x.id for x in model.tokenize(t)])
+        for some, encode in ((letters, self._words), (other, self._ids)):
+            kept.update(zip((p for p, _ in some), encode([t for _, t in some]), strict=True))
         for p in bare:
             if p not in kept:
                 kept[p] = kept[p.lower()]
@@ -91,16 +105,18 @@ class Encoder:
             if p not in kept:
                 kept[p] = kept[p[:-1]] + marks[p[-1]]
 
-    def __call__(self, text: bytes) -> bytes:
-        pieces, kept = text.split(), self.kept
-        if new := {p for p in pieces if p not in kept}:
-            if len(kept) > KEPT:  # short pieces are the frequent ones
-                self.kept = kept = {p: ids for p, ids in kept.items() if len(p) <= SHORT}
-                if len(kept) > KEPT // 2:
-                    kept.clear()
-                new = {p for p in pieces if p not in kept}
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split, kept = [t.split() for t in texts], self.kept
+        new = {p for pieces in split for p in pieces if p not in kept}
+        if new and len(kept) > KEPT:  # short pieces are the frequent ones
+            self.kept = kept = {p: ids for p, ids in kept.items() if len(p) <= SHORT}
+            if len(kept) > KEPT // 2:
+                kept.clear()
+            new = {p for pieces in split for p in pieces if p not in kept}
+        if new:
             self._learn(new)
-        return b"".join([kept[p] for p in pieces]) + self.end
+        ids = kept.__getitem__
+        return [b"".join(map(ids, pieces)) + self.end for pieces in split]
 
 
 @lru_cache(maxsize=2)
@@ -113,10 +129,10 @@ def pieces(documents: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
 
     def made(block: Block) -> Iterator[dict[str, object]]:
-        encode = encoder(path)
+        texts = encoder(path)([block.bytes_of(i) for i in range(block.n)])
         rows, of, start, length, crc = [], [], [], [], []
         for i in range(block.n):
-            ids = memoryview(encode(block.bytes_of(i)))
+            ids = memoryview(texts[i])
             n = len(ids) // 4
             for j, at in enumerate(range(0, n, size)):
                 rows.append(i)

@@ -37,7 +37,7 @@ from .common import column, cut, map_rows, table
 SIZE = 2048
 END = 0
 #: Pieces of text whose ids a task keeps.
-KEPT = 400_000
+KEPT = 250_000
 #: Bytes up to which they stay when there are too many.
 SHORT = 9
 #: Bound of the broadcast slots.

@@ -13,6 +13,14 @@ equal fingerprints are one vertex, and a group's links are as many as its member
 Several tables (fingerprints from independently mixed hashes) may be used: documents are linked if any
 table links them, which finds near copies whose distance in one table is a little over 2.
 
+``deduplicate`` does not use fingerprints, which differ by far more than 2 bits at the similarity it asks
+for. Its candidates are texts that share one of ``BANDS`` bands of ``ROWS`` MinHashes (a pair at a Jaccard
+similarity of 0.8 does with a chance of 0.9999), and links are pairs of candidates whose sets of shingles
+have a Jaccard similarity of at least ``ALIKE``, counted on the texts. Texts of equal sets are one vertex.
+A bucket (texts that share a band) is compared in cells of about two times ``CELL`` texts at most, so that
+any two of its texts meet in one; a cell gives links as stars, not pairs. Cells of a bucket grow with the
+square of its size over ``CELL``.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle; rows that repeat a doc_id are one document; null ids take part in links but
 are no component's name unless a component has nothing else (then it is null). Extra columns are ignored
@@ -22,6 +30,7 @@ by ``link`` and kept by ``deduplicate``, which keeps all rows with a null id.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +40,8 @@ from .blocks import Block, mix
 from .common import cut, map_blocks, table
 
 BITS, SEED, SHINGLE = 2, 42, 3
+#: Near copies: Jaccard similarity from which texts are, bands of MinHashes, texts in half a cell.
+ALIKE, BANDS, ROWS, CELL = 0.8, 24, 5, 512
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -122,9 +133,73 @@ def link(spark: SparkSession, documents: DataFrame, shingle: int = SHINGLE, tabl
     return docs.join(named, "fps").select("doc_id", "fps", "component_id")
 
 
-def deduplicate(spark: SparkSession, documents: DataFrame, shingle: int = 5, tables: int = 4) -> DataFrame:
-    """The documents, with all columns, without those whose component has a smaller doc_id."""
-    gone = link(spark, documents, shingle, tables).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+def near_sets(documents: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_key, near_set, bands: the set of shingles by its hash, and its keys in each band (none if empty)."""
+    rng = np.random.default_rng(SEED)
+    times = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    fold = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def made(block: Block) -> dict[str, object]:
+        sets, bands = [], []
+        for i in range(block.n):
+            h = np.unique(shingle_hashes(block.bytes_of(i), shingle))
+            sets.append(xxhash.xxh128_digest(h.tobytes()))
+            least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+            for at in range(0, len(h), 4096):
+                least = np.minimum(least, (h[at : at + 4096, None] * times).min(axis=0))
+            bands.append(mix((mix(least.reshape(BANDS, ROWS)) * fold).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist() if len(h) else [])
+        return {"near_set": sets, "bands": bands}
+
+    keyed = documents.select("doc_id", "text", F.md5("text").alias("text_key"))
+    return map_blocks(keyed, made, "near_set binary, bands array<long>", keep=["doc_id", "text_key"])
+
+
+def _alike(texts: list[bytes], shingle: int) -> np.ndarray:
+    """For each text the first one that links of a Jaccard similarity of ``ALIKE`` tie it to."""
+    sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+    size = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(number, kind="stable")]
+    ends = np.cumsum(np.bincount(number))
+    root, at = np.arange(len(sets)), np.concatenate([[0], np.cumsum(size)])
+    for i in range(1, len(sets)):
+        mine = number[at[i] : at[i + 1]]
+        both = np.bincount(np.concatenate([owner[ends[k - 1] if k else 0 : ends[k]] for k in mine.tolist()]), minlength=len(sets))[:i]
+        linked = np.unique(root[:i][both >= ALIKE * (size[:i] + size[i] - both)])
+        if len(linked):
+            root[: i + 1][np.isin(root[: i + 1], np.append(linked, i))] = linked[0]
+    return root
+
+
+def near_copies(spark: SparkSession, documents: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_key, component_id: documents in components of pairs that share a band and are ``ALIKE``."""
+    docs = cut(spark, near_sets(documents, shingle))
+    nodes = docs.groupBy("near_set").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
+    nodes = cut(spark, nodes)
+    entries = nodes.select(F.col("near_set").alias("node"), "text_key", F.posexplode("bands").alias("t", "band"))
+    shared = entries.groupBy("t", "band").agg(F.ceil(F.count("*") / CELL).alias("parts"), F.count("*").alias("n")).where("n > 1")
+    members = cut(spark, entries.join(shared, ["t", "band"]))
+    # a bucket of several parts has a cell for each two of them
+    part = F.pmod(F.xxhash64("node", "t"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != F.col("part")) | (F.col("parts") == 1))
+    celled = members.withColumn("part", part).withColumn("other", F.explode(others)).select("t", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "text_key")
+    texts = documents.select(F.md5("text").alias("text_key"), "text").join(members.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+
+    def linked(cell: pa.Table) -> pa.Table:
+        node, root = cell["node"].combine_chunks(), _alike([t.as_py().encode() for t in cell["text"]], shingle)
+        tied = root != np.arange(len(root))
+        return pa.table({"a": node.filter(pa.array(tied)), "b": node.take(pa.array(root[tied]))})
+
+    edges = celled.join(texts, "text_key").groupBy("t", "band", "i", "j").applyInArrow(linked, "a binary, b binary")
+    root = components(spark, edges)
+    named = nodes.join(root, nodes["near_set"] == root["v"], "left").select("near_set", "least", F.coalesce("root", "near_set").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(named.join(least, "root").select("near_set", "component_id"), "near_set").select("doc_id", "text_key", "component_id")
+
+
+def deduplicate(spark: SparkSession, documents: DataFrame, shingle: int = 5) -> DataFrame:
+    """The documents, with all columns, without those whose component of near copies has a smaller doc_id."""
+    gone = near_copies(spark, documents, shingle).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     return documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
 
 

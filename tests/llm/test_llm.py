@@ -166,6 +166,29 @@ def test_simhash(spark, docs, rows, none):
     assert 5 in ids and 6 not in ids and ids.count(20) == 2 and 30 in ids
 
 
+def test_near_copies_with_edited_words(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (80, 150, 300, 600) for _ in range(15)]
+
+    def edited(words, share):
+        return [f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
+
+    texts = [*base, *(edited(w, rng.choice((0.005, 0.01, 0.02, 0.03))) for w in base for _ in range(2))]
+    texts += [edited(base[20], 0.012) for _ in range(120)]  # one large group, many of whose pairs are less alike
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root, pairs = list(range(len(texts))), 0
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if len(x & y) >= 0.8 * len(x | y):
+                old, new, pairs = max(root[a], root[b]), min(root[a], root[b]), pairs + 1
+                root = [new if r == old else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for cell in (simhash.CELL, 16):  # whole buckets, and buckets dealt over cells
+        monkeypatch.setattr(simhash, "CELL", cell)
+        kept = {r.doc_id for r in simhash.deduplicate(spark, df).collect()}
+        assert pairs > 1000 and kept == set(root)
+
+
 def test_simhash_links_all_close_pairs(spark):
     rng = random.Random(9)
     xs = [0, (1 << 64) - 1] + [rng.getrandbits(64) for _ in range(60)]

@@ -2,8 +2,10 @@
 
 One pass per page, without a shuffle. A tolerant tokenizer keeps the stack of open elements; each piece
 of text belongs to its root-to-leaf tag path. Text under elements that are never article text (scripts,
-menus, headers, footers, sidebars, forms, and elements whose class, id or role says advert, notice,
-comments and the like) is left out. Of the rest, text length, punctuation and linked text are summed per
+menus, headers, footers, sidebars, forms, hidden elements, and elements whose class, id or role names an
+advert, notice, comments and the like, but not a layout with or without them) is left out; but an element
+named so that holds most of the text of the article elements (or of the page, if it has none) is kept,
+unless it is named as adverts, comments, consent or related pages. Of the rest, text length, punctuation and linked text are summed per
 path; each path's mean length and mean punctuation are smoothed over neighbouring pieces of the page,
 fused by a product, and paths under a share of the page's best are dropped, as are paths that are nearly
 all links. Headings stay if content follows. If the page has an article or main element with text, only
@@ -38,7 +40,7 @@ REACH = 2
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 
 #: Element names by what they mean in HTML.
@@ -54,34 +56,61 @@ _SAYS_NOT = frozenset(
     "header masthead topbar cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations comment comments commentlist disqus respond reply replies discussion widget widgets toolbar pagination pager copyright disclaimer search searchbox complementary contentinfo dialog hidden".split()
 )
+#: Words that make a name one of a layout ("with-sidebar", "overflow-hidden") and not of the part itself.
+_LAYOUT = frozenset("with has have no not without overflow layout open opened enabled active".split())
+#: Parts that are no article however much of the page's text they hold.
+_OTHERS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors related recommended recommendations comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr".split())
 _WHOLE = frozenset("html body main article".split())
+_KEPT, _UNLESS_MOST, _TAKEN = 0, 1, 2
 
 
-def _not_article(name: str, tag: str) -> bool:
+def _not_article(name: str, tag: str) -> int:
+    """Whether an element takes its text out: no, unless most of the text is in it, or always."""
     if name in _NEVER:
-        return True
-    if name in _WHOLE or "=" not in tag and "hidden" not in tag:
-        return False
-    for key, value in _NAMED.findall(tag):
+        return _TAKEN
+    if name in _WHOLE or "=" not in tag and "hidden" not in tag.lower():
+        return _KEPT
+    verdict = _KEPT
+    for key, value in _ATTRIBUTE.findall(tag, 1 + len(name)):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        said = re.split(r"[^a-z0-9]+", value)
-        if not _SAYS_NOT.isdisjoint(said) or "side" in said and "bar" in said:
-            return True
-    return False
-
-
-def pieces(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
+            return _TAKEN
+        for said in value.split() if key in ("class", "id", "role") else ():
+            words = [w for w in re.split(r"[^a-z0-9]+", said) if w]
+            if not _LAYOUT.isdisjoint(words) or "hidden" in words and len(words) > 1:
+                continue
+            if not _OTHERS.isdisjoint(words):
+                return _TAKEN
+            if not _SAYS_NOT.isdisjoint(words) or "side" in words and "bar" in words:
+                verdict = _UNLESS_MOST
+    return verdict
+
+
+def pieces(page: str) -> list[tuple[int, str, str, bool, bool]]:
     """(block, tag path, text, linked, in an article element) of each piece of text that may be content."""
-    stack: list[tuple[str, bool]] = []  # names, and whether they take their text out
+    found = []  # with the open elements that take it out unless most text is in them
+    for *piece, doubts in _walk(page):
+        found.append((tuple(piece), doubts))
+    whole = any(p[4] and p[2].strip() for p, _ in found)
+    held: dict[int, int] = {}  # letters of the article elements, or of the page if there are none
+    everything = 0
+    for p, doubts in found:
+        n = len(p[2].strip()) if p[4] or not whole else 0
+        everything += n
+        for x in doubts:
+            held[x] = held.get(x, 0) + n
+    return [p for p, doubts in found if all(2 * held[x] > everything for x in doubts)]
+
+
+def _walk(page: str) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
+    stack: list[tuple[str, int, int]] = []  # names, whether they take their text out, numbers
     out, links, inside, block, at = 0, 0, 0, 0, 0
     while m := _TOKEN.match(page, at):
         at, token = m.end(), m[0]
         tag = _TAG.match(token, 1) if token[0] == "<" else None
         if tag is None:
             if (token[0] != "<" or token == "<") and not out:
-                yield block, "/".join(n for n, _ in stack), token, links > 0, inside > 0
+                yield block, "/".join(n for n, _, _ in stack), token, links > 0, inside > 0, tuple(k for _, took, k in stack if took == _UNLESS_MOST)
             continue
         name = tag[2].lower()
         block += name not in _INLINE
@@ -102,21 +131,22 @@ def pieces(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
                         drop = i
                     if stack[i][0] not in _INLINE:
                         break
-        for gone, took in stack[drop:]:
-            out -= took
+        for gone, took, _ in stack[drop:]:
+            out -= took == _TAKEN
             links -= gone == "a"
             inside -= gone in ("article", "main")
         del stack[drop:]
         if not tag[1] and not token.endswith("/>"):
             took = _not_article(name, token)
-            stack.append((name, took))
-            out += took
+            stack.append((name, took, m.start()))
+            out += took == _TAKEN
             links += name == "a"
             inside += name in ("article", "main")
 
 
 def main_text(page: str | None) -> str:
-    found = [p for p in pieces(page or "") if p[2].strip()]
+    everything = pieces(page or "")
+    found = [p for p in everything if p[2].strip()]
     if any(p[4] for p in found):
         found, share = [p for p in found if p[4]], SHARE_IN_ARTICLE
     else:
@@ -153,7 +183,7 @@ def main_text(page: str | None) -> str:
     block = np.unique(np.array([p[0] for p in found]), return_inverse=True)[1]
     kept = np.bincount(block, length * chosen) * 2 >= np.bincount(block, length)
     blocks: dict[int, list[str]] = {p[0]: [] for p, b in zip(found, block, strict=True) if kept[b]}
-    for p in pieces(page or ""):  # with the white space between its inline elements
+    for p in everything:  # with the white space between its inline elements
         if p[0] in blocks:
             blocks[p[0]].append(html.unescape(p[2]))
     lines = (" ".join("".join(x).split()) for x in blocks.values())

@@ -247,6 +247,20 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="with
 <div class="comments"><p>A comment, long enough to be taken for text, but it is not.</p></div><div class="cookie-notice">We use cookies, as all do.</div><form><label>Name</label></form><aside>More</aside><footer>&copy; us</footer><script>if (a<b) "<p>x</p>"</script></body></html>"""
 
 
+def test_html_drops_named_parts_only():
+    text = "The article says this, and that; it is long enough to be content of its own."
+    p = f"<p>{text}</p>"
+    for wrapper in ('div style="overflow:hidden"', 'div class="overflow-hidden"', 'div class="content with-sidebar"', 'div class="layout has-sidebar"', 'div class="sidebar-layout"', 'div title="The hidden city"', 'div data-x="class=ad"', 'div id="header"'):
+        name = wrapper.split()[0]
+        assert html_extract.main_text(f"<body><{wrapper}><article>{p}</article></{name}></body>") == text
+        assert html_extract.main_text(f"<body><{wrapper}>{p}{p}</{name}>{p if wrapper[-8:] != '"header"' else ''}</body>").startswith(f"{text}\n{text}")
+    for part in ("div hidden", "div HIDDEN=''", "div aria-hidden=true", 'div class="hidden"', 'div class="x site-footer"', 'div id="side-bar"', 'div role="navigation"', 'ol class="comment-list"', "aside"):
+        name = part.split()[0]
+        assert html_extract.main_text(f"<body>{p}{p}<{part}><p>{text} Not this.</p></{name}></body>") == f"{text}\n{text}"
+    comments = f'<ol class="comment-list"><li><article class="comment-body">{p * 5}</article></li></ol>'
+    assert html_extract.main_text(f"<body><article>{p}</article>{comments}</body>") == text
+
+
 def test_html(spark):
     want = "A headline\nThe first paragraph, with a link & more; so it goes on, and on.\nA new line, too, of some length.\nUnclosed second one, which has commas, as texts do."
     assert html_extract.main_text(PAGE) == want

@@ -7,8 +7,9 @@ advert, notice, comments and the like, but not a layout with or without them) is
 named so that holds most of the text of the article elements (or of the page, if it has none) is kept,
 unless it is named as adverts, comments, consent or related pages. Of the rest, text length, punctuation and linked text are summed per
 path; each path's mean length and mean punctuation are smoothed over neighbouring pieces of the page,
-fused by a product, and paths under a share of the page's best are dropped, as are paths that are nearly
-all links. Headings stay if content follows. If the page has an article or main element with text, only
+fused by a product of their logarithms, and paths under a share of the page's best are dropped, as are
+paths that are nearly all links. A list or table between kept pieces of the element that holds it is kept
+with all it holds, unless it is nearly all links. Headings stay if content follows. If the page has an article or main element with text, only
 text in it can be content, and the share is lower.
 
 Selected text becomes blocks: broken at block elements and line breaks, character references decoded,
@@ -32,7 +33,7 @@ from .blocks import Block
 from .common import map_blocks, table
 
 #: Shares of the best path's score under which a path is no content: in an article element, else.
-SHARE_IN_ARTICLE, SHARE = 0.002, 0.08
+SHARE_IN_ARTICLE, SHARE = 0.02, 0.48
 #: Share of linked text from which a path is a menu.
 LINKED = 0.7
 #: Pieces to either side that smooth a path's ratios.
@@ -50,6 +51,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _NEVER = frozenset("head title nav header footer aside form button menu dialog fieldset datalist option".split())
 _ENDS_P = frozenset("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("ul ol dl table".split())
 #: Words in classes, ids and roles of what is not article text.
 _SAYS_NOT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion promoted sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
@@ -86,8 +88,8 @@ def _not_article(name: str, tag: str) -> int:
     return verdict
 
 
-def pieces(page: str) -> list[tuple[int, str, str, bool, bool]]:
-    """(block, tag path, text, linked, in an article element) of each piece of text that may be content."""
+def pieces(page: str) -> list[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
+    """(block, tag path, text, linked, in an article element, numbers of the open elements) of each piece of text that may be content."""
     found = []  # with the open elements that take it out unless most text is in them
     for *piece, doubts in _walk(page):
         found.append((tuple(piece), doubts))
@@ -102,7 +104,7 @@ def pieces(page: str) -> list[tuple[int, str, str, bool, bool]]:
     return [p for p, doubts in found if all(2 * held[x] > everything for x in doubts)]
 
 
-def _walk(page: str) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
+def _walk(page: str) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...], tuple[int, ...]]]:
     stack: list[tuple[str, int, int]] = []  # names, whether they take their text out, numbers
     out, links, inside, block, at = 0, 0, 0, 0, 0
     while m := _TOKEN.match(page, at):
@@ -110,7 +112,7 @@ def _walk(page: str) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...
         tag = _TAG.match(token, 1) if token[0] == "<" else None
         if tag is None:
             if (token[0] != "<" or token == "<") and not out:
-                yield block, "/".join(n for n, _, _ in stack), token, links > 0, inside > 0, tuple(k for _, took, k in stack if took == _UNLESS_MOST)
+                yield block, "/".join(n for n, _, _ in stack), token, links > 0, inside > 0, tuple(k for _, _, k in stack), tuple(k for _, took, k in stack if took == _UNLESS_MOST)
             continue
         name = tag[2].lower()
         block += name not in _INLINE
@@ -144,6 +146,25 @@ def _walk(page: str) -> Iterator[tuple[int, str, str, bool, bool, tuple[int, ...
             inside += name in ("article", "main")
 
 
+def _between(found: list[tuple], chosen: np.ndarray, length: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Pieces of lists and tables that lie between chosen pieces of the element that holds them."""
+    ends: dict[int, list[int]] = {}  # of each element, its first and last chosen piece outside of lists
+    lists: dict[int, tuple[int, list[int]]] = {}  # of each outermost list, what holds it and its pieces
+    for i, (_, path, _, _, _, open_) in enumerate(found):
+        at = next((k for k, name in enumerate(path.split("/")) if name in _LISTS), None)
+        if at:
+            lists.setdefault(open_[at], (open_[at - 1], []))[1].append(i)
+        elif at is None and chosen[i]:
+            for x in open_:
+                ends.setdefault(x, [i, i])[1] = i
+    out = np.zeros(len(found), bool)
+    for holder, mine in lists.values():
+        first, last = ends.get(holder, (len(found), -1))
+        if first < mine[0] and mine[-1] < last and (length[mine] * linked[mine]).sum() < LINKED * length[mine].sum():
+            out[mine] = True
+    return out
+
+
 def main_text(page: str | None) -> str:
     everything = pieces(page or "")
     found = [p for p in everything if p[2].strip()]
@@ -170,9 +191,9 @@ def main_text(page: str | None) -> str:
         lo, hi = np.maximum(i - REACH, 0), np.minimum(i + REACH + 1, len(path))
         return np.bincount(path, (sums[hi] - sums[lo]) / (hi - lo)) / count
 
-    score = smooth(total / count) * (1 + smooth(np.bincount(path, marks) / count))
+    score = np.log1p(smooth(total / count)) * (1 + np.log1p(smooth(np.bincount(path, marks) / count)))
     content = (score >= share * score.max()) & (share_linked < LINKED)
-    chosen = content[path]
+    chosen = content[path] | _between(found, content[path], length, linked)
     heading = np.array([not _HEADINGS.isdisjoint(p[1].split("/")) for p in found])
     for i in range(len(found) - 1, -1, -1):  # a heading stays with what it heads
         if heading[i] and not linked[i]:

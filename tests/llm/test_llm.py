@@ -261,6 +261,24 @@ def test_html_drops_named_parts_only():
     assert html_extract.main_text(f"<body><article>{p}</article>{comments}</body>") == text
 
 
+def test_html_keeps_lists_and_tables_between_paragraphs():
+    def para(n, marks):
+        return ("word " * (n // 5 // marks - 1) + "word, ") * marks
+
+    for n, items, letters in ((600, 10, 40), (300, 15, 30), (2400, 8, 12)):
+        item = [f"item{i} ".ljust(letters, "x") for i in range(items)]
+        rows = "".join(f"<li>{x}</li>" for x in item)
+        page = f"<div>{f'<p>{para(n, 10)}</p>' * 5}<ul>{rows}</ul>{f'<p>{para(n, 10)}</p>' * 5}</div>"
+        menu = "<ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(8)) + "</ul>"
+        got = html_extract.main_text(f"<body>{menu}{page}</body>").split("\n")
+        assert got[5:-5] == item and len(got) == 10 + items
+        assert html_extract.main_text(f"<body>{page.replace('<ul>' + rows + '</ul>', menu)}</body>").count("Link") == 0
+    cells = [f"c{i:04d}" for i in range(300)]
+    table = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in cells) + "</table>"
+    for page in (f"<p>{para(800, 12)}</p>{table}", f"<p>{para(800, 12)}</p>{table}<p>{para(800, 12)}</p>"):
+        assert html_extract.main_text(f"<article>{page}</article>").split("\n")[1:301] == cells
+
+
 def test_html(spark):
     want = "A headline\nThe first paragraph, with a link & more; so it goes on, and on.\nA new line, too, of some length.\nUnclosed second one, which has commas, as texts do."
     assert html_extract.main_text(PAGE) == want

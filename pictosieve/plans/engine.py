@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +30,27 @@ class ScanResult:
     seconds: float = 0.0
 
 
+#: Folders that the image source is given at once.
+FOLDERS = 1000
+
+
+def _pixels(spark: SparkSession, folders: Iterator[str]) -> Iterator[DataFrame]:
+    """Hashes of the pictures in the folders, for some folders at a time."""
+    while some := list(islice(folders, FOLDERS)):
+        yield decoded(spark, *some)
+
+
 def hashed(spark: SparkSession, listed: DataFrame, algorithm: str) -> DataFrame:
-    """Files with everything that a cache stores. Pixels are decoded by Spark's image source where it can."""
+    """Files with everything that a cache stores. Pixels are decoded by Spark's image source where it can, in all folders of the files."""
     known = listed.withColumn("h", header(F.col("content"))).select("path", "size", "mtime", F.sha2("content", 256).alias("digest"), "h.*")
-    folders = [r[0] for r in listed.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().limit(1000).collect()]
-    pixels = decoded(spark, *folders).select("path", F.col("a_hash" if algorithm == "phash" else "d_hash").alias("d_hash"), F.col("width").alias("w"), F.col("height").alias("h")).dropDuplicates(["path"]) if folders else None
+    inside = cut(spark, listed.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct())
+    names = F.split("f", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda i: F.concat_ws("/", F.slice(names, 1, i)))
+    below = inside.where(F.size(names) > 1).select("f", F.explode(above).alias("up")).join(inside.select(F.col("f").alias("up")), "up", "left_semi").select("f")
+    folders = (r[0] for r in inside.join(below, "f", "left_anti").toLocalIterator())  # the source reads what is below them too
+    hashes = F.col("a_hash" if algorithm == "phash" else "d_hash").alias("d_hash")
+    parts = [cut(spark, x.select("path", hashes, F.col("width").alias("w"), F.col("height").alias("h"))) for x in _pixels(spark, folders)]
+    pixels = reduce(DataFrame.unionAll, parts).dropDuplicates(["path"]) if parts else None
     if pixels is None:
         return spark.createDataFrame([], STORED)
     both = known.join(pixels, "path", "left").withColumn("width", F.coalesce("width", "w")).withColumn("height", F.coalesce("height", "h"))

@@ -13,6 +13,7 @@ from pictosieve.operators import components, raster, series, similarity
 from pictosieve.plans import engine
 from pictosieve.plans import queries as Q
 from pictosieve.request import SUPPORTED, ScanRequest
+from pictosieve.sources import files
 from pictosieve.streaming.incremental import watch
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +113,16 @@ def test_scan_of_real_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
 
 
+def test_scan_hashes_pictures_of_all_folders(spark, tmp_path):
+    for i in range(1010):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x.png").write_bytes(png(9, 8, lambda x, y: (x * 20, y, 5)))
+    (tmp_path / "d7" / "in").mkdir()
+    (tmp_path / "d7" / "in" / "x.png").write_bytes(png(9, 8, lambda x, y: (x * 20, y, 5)))
+    out = engine.hashed(spark, files.listing(spark, ScanRequest(str(tmp_path))), "dhash")
+    assert out.count() == 1011 and out.where("d_hash is null").count() == 0
+
+
 def test_thumbnails_and_pixel_hashes(spark, tmp_path):
     import base64
 

@@ -24,7 +24,9 @@ square of its size over ``CELL``.
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a
 shingle make one shingle; rows that repeat a doc_id are one document; null ids take part in links but
 are no component's name unless a component has nothing else (then it is null). Extra columns are ignored
-by ``link`` and kept by ``deduplicate``, which keeps all rows with a null id.
+by ``link`` and kept by ``deduplicate``, for which rows of one doc_id but different texts are different
+documents, rows equal in both are one document and stay together, and of rows with a null id one stays if
+nothing else of their component does.
 """
 
 from __future__ import annotations
@@ -172,9 +174,10 @@ def _alike(texts: list[bytes], shingle: int) -> np.ndarray:
 
 
 def near_copies(spark: SparkSession, documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_key, component_id: documents in components of pairs that share a band and are ``ALIKE``."""
+    """doc_id, text_key, stays: of each component of pairs that share a band and are ``ALIKE``, the row with the least id and text."""
     docs = cut(spark, near_sets(documents, shingle))
-    nodes = docs.groupBy("near_set").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.coalesce("text_key", F.lit("")).alias("key"))
+    nodes = docs.groupBy("near_set").agg(F.min(row).alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
     nodes = cut(spark, nodes)
     entries = nodes.select(F.col("near_set").alias("node"), "text_key", F.posexplode("bands").alias("t", "band"))
     shared = entries.groupBy("t", "band").agg(F.ceil(F.count("*") / CELL).alias("parts"), F.count("*").alias("n")).where("n > 1")
@@ -193,14 +196,16 @@ def near_copies(spark: SparkSession, documents: DataFrame, shingle: int = 5) ->
     edges = celled.join(texts, "text_key").groupBy("t", "band", "i", "j").applyInArrow(linked, "a binary, b binary")
     root = components(spark, edges)
     named = nodes.join(root, nodes["near_set"] == root["v"], "left").select("near_set", "least", F.coalesce("root", "near_set").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(named.join(least, "root").select("near_set", "component_id"), "near_set").select("doc_id", "text_key", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("stays"))
+    return docs.join(named.join(least, "root").select("near_set", "stays"), "near_set").select("doc_id", F.coalesce("text_key", F.lit("")).alias("text_key"), (F.col("stays") == row).alias("stays"))
 
 
 def deduplicate(spark: SparkSession, documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents, with all columns, without those whose component of near copies has a smaller doc_id."""
-    gone = near_copies(spark, documents, shingle).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
+    """Of each component of near copies the least doc_id (null is the largest), of its texts one; with all columns."""
+    gone = cut(spark, near_copies(spark, documents, shingle).where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    same = documents["doc_id"].eqNullSafe(gone["gone_id"]) & (F.coalesce(F.md5(documents["text"]), F.lit("")) == gone["gone_key"])
+    kept = documents.join(gone, same, "left_anti")
+    return kept.where("doc_id IS NOT NULL").unionAll(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,15 @@ def test_near_copies_with_edited_words(spark, monkeypatch):
         assert pairs > 1000 and kept == set(root)
 
 
+def test_near_copies_go_row_by_row(spark):
+    rng = random.Random(31)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    near = a.replace(" ", " edited ", 1)
+    rows = [(1, a), (2, near), (2, b), (None, near), (None, a), (None, c), (None, c), (3, d), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicate(spark, df).collect()), key=key) == sorted([(1, a), (2, b), (None, c), (3, d), (4, "")], key=key)
+
+
 def test_simhash_links_all_close_pairs(spark):
     rng = random.Random(9)
     xs = [0, (1 << 64) - 1] + [rng.getrandbits(64) for _ in range(60)]

@@ -138,6 +138,22 @@ def test_ann(spark):
     assert ann.search(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_index_without_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST", 0)  # else all of a table this small is reranked
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = ann.valid(df).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got = {}
+    for r in ann.search(spark, df, F.col("vec_id") % 20 == 0, share=0.12).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = np.where(ids == ids[i], -np.inf, x @ x[i])
+        hit += len(got[ids[i]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+        total += 20
+    assert 0.9 <= hit / total < 1
+
+
 def fingerprint(text, k=3):
     w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
     shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])

@@ -7,12 +7,15 @@ learning rates and L1 leave a few thousand weights of ``2**BITS``, which every s
 Scoring is one pass over all documents without a shuffle; whole texts count.
 
 Features: words, word pairs, pairs with one word between, and the first 4 to 9 bytes of longer words
-(so that inflected words share weight). A feature counts once a document, and again as features of
-their own if it occurs at least 2, 4 and 8 times in it.
+(so that inflected words share weight). A feature counts once a document, and again as features of its
+own if it makes up at least one in 400, 200, 100, 50 and 25 of the words, so that chance finds in long
+texts weigh little. The bias is the log-odds of the classes plus an offset: a model of four fifths of
+the sample scores the rest, and the offset is the one with the fewest errors there (a clean text that is
+marked counts as ``ERROR`` toxic ones that are not).
 
 Defined cases: null and empty texts score by the bias alone; rows stay as many as they are, repeated
-rows get equal scores; ids may be null; labels without a document, or null, are ignored, and of
-several labels of an id the largest counts; without labels of both classes every score is the share
+rows get equal scores; ids may be null; labels without a document, or null, are ignored, of several
+labels of an id the largest counts, and of several texts the least is learned from; without labels of both classes every score is the share
 of class 1 (0 without labels). Extra columns of the input are ignored.
 """
 
@@ -31,8 +34,10 @@ from .common import column, map_blocks, map_rows
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8, 9)
-#: Occurrences from which a feature counts as another one.
-TIMES = (1, 2, 4, 8)
+#: A feature that is at least one in so many words counts as another one, too.
+DENSE = (400, 200, 100, 50, 25)
+#: What marking a clean text costs, in toxic texts that are missed; bounds of the bias' offset.
+ERROR, OFFSET = 5, 3.0
 _KINDS = {k: np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i, k in enumerate(("word", "pair", "skip", *PREFIXES))}
 
 
@@ -43,9 +48,9 @@ class Bounds:
     positives: int = 3000
     negatives: int = 9000
     epochs: int = 3
-    alpha: float = 0.15
+    alpha: float = 0.4
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 7.0
     l2: float = 1.0
 
 
@@ -82,9 +87,19 @@ def _distinct(text: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both >> BITS, both & ((1 << BITS) - 1), times
 
 
-def _as_often(index: np.ndarray, times: int) -> np.ndarray:
-    """The feature for ``times`` occurrences of a feature."""
-    return index if times == 1 else (mix(index.astype(np.uint64) + np.uint64(times << 32)) >> np.uint64(64 - BITS)).astype(np.int64)
+def _as_dense(index: np.ndarray, one_in: int) -> np.ndarray:
+    """The feature for one that is at least one in so many words."""
+    return (mix(index.astype(np.uint64) + np.uint64(one_in << 32)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def counted(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Text numbers and feature numbers of all that counts, in order of the texts, each pair once."""
+    parts, size = list(features(block)), np.maximum(words(block, ALNUM).counts, 1)
+    text, index, times = _distinct(np.concatenate([t for t, _ in parts]), np.concatenate([i for _, i in parts]))
+    dense = [times * n >= size[text] for n in DENSE]
+    more = [_as_dense(index[x], n) for x, n in zip(dense, DENSE, strict=True)]
+    text, index, _ = _distinct(np.concatenate([text, *(text[x] for x in dense)]), np.concatenate([index, *more]))
+    return text, index
 
 
 def _ftrl(rows: list[tuple[np.ndarray, int]], b: Bounds) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,6 +126,23 @@ def _ftrl(rows: list[tuple[np.ndarray, int]], b: Bounds) -> tuple[np.ndarray, np
     return index, full[index], bias
 
 
+def _offset(rows: list[tuple[np.ndarray, int]], b: Bounds) -> float:
+    """What the bias should be more by, from a fifth of the sample that is left out."""
+    index, weight, bias = _ftrl([r for i, r in enumerate(rows) if i % 5], b)
+    dense = np.zeros(1 << BITS, np.float32)
+    dense[index] = weight
+    y = np.array([y for _, y in rows[::5]], bool)
+    score = np.array([dense[f].sum() + bias for f, _ in rows[::5]], float)
+    if y.all() or not y.any():
+        return 0.0
+    at = np.sort(score)
+    cuts = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
+    missed, marked = np.searchsorted(np.sort(score[y]), cuts), (~y).sum() - np.searchsorted(np.sort(score[~y]), cuts)
+    cost = missed + ERROR * marked
+    best = cuts[cost == cost.min()]
+    return float(np.clip(-(best[0] + best[-1]) / 2, -OFFSET, OFFSET))
+
+
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds: Bounds = Bounds()) -> Model:
     """The model of the labelled documents' ``target`` (0 or 1)."""
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
@@ -123,13 +155,10 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds:
     for y, most in ((1, bounds.positives), (0, bounds.negatives)):
         part = known.where(F.col("y") == y).select("doc_id", "y", order.alias("o")).orderBy("o", "doc_id").limit(most)
         sample = part if sample is None else sample.unionAll(part)
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "o").agg(F.min("text").alias("text"))
 
     def made(block: Block):
-        parts = list(features(block))
-        text, index, times = _distinct(np.concatenate([t for t, _ in parts]), np.concatenate([i for _, i in parts]))
-        often = [times >= n for n in TIMES]
-        text, index, _ = _distinct(np.concatenate([text[x] for x in often]), np.concatenate([_as_often(index[x], n) for x, n in zip(often, TIMES, strict=True)]))
+        text, index = counted(block)
         at = np.searchsorted(text, np.arange(block.n + 1))
         index = index.astype(np.int32)
         yield {"y": column(block, "y"), "o": column(block, "o"), "f": [index[at[i] : at[i + 1]].tobytes() for i in range(block.n)]}
@@ -138,7 +167,9 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(((o, f, y) for b in batches for y, o, f in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), key=lambda r: r[:2])
-        index, weight, bias = _ftrl([(np.frombuffer(f, np.int32), y) for _, f, y in got], bounds)
+        learned = [(np.frombuffer(f, np.int32), y) for _, f, y in got]
+        index, weight, bias = _ftrl(learned, bounds)
+        bias += _offset(learned, bounds)
         seen = sum(y for _, _, y in got)
         yield pa.RecordBatch.from_pydict({"i": [index.astype(np.int32).tobytes()], "w": [weight.astype(np.float32).tobytes()], "b": [bias], "p": [seen], "n": [len(got) - seen]})
 
@@ -152,12 +183,12 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds:
 
 
 class Scorer:
-    """The model as tables by feature: whether it can count, and its weight at each of ``TIMES``."""
+    """The model as tables by feature: whether it can count, its weight, and its weight at each of ``DENSE``."""
 
     def __init__(self, model: Model):
         dense, every = model.dense(), np.arange(1 << BITS)
-        self.bias, self.weights = model.bias, [dense[_as_often(every, n)] for n in TIMES]
-        self.counts = np.any([w != 0 for w in self.weights], axis=0)
+        self.bias, self.weight, self.more = model.bias, dense, [dense[_as_dense(every, n)] for n in DENSE]
+        self.counts = np.any([w != 0 for w in (dense, *self.more)], axis=0)
 
     def __call__(self, block: Block) -> np.ndarray:
         texts, found = [], []
@@ -166,9 +197,10 @@ class Scorer:
             texts.append(text[hit])
             found.append(index[hit])
         text, index, times = _distinct(np.concatenate(texts), np.concatenate(found))
-        total = np.full(block.n, self.bias)
-        for n, w in zip(TIMES, self.weights, strict=True):
-            x = times >= n
+        size = np.maximum(words(block, ALNUM).counts, 1)
+        total = self.bias + np.bincount(text, self.weight[index].astype(np.float64), block.n)
+        for n, w in zip(DENSE, self.more, strict=True):
+            x = times * n >= size[text]
             total += np.bincount(text[x], w[index[x]].astype(np.float64), block.n)
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 

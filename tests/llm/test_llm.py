@@ -377,6 +377,45 @@ def test_toxicity(spark, docs, rows, none):
     assert {r.p for r in toxicity.score(train, toxicity.fit(train, labels.limit(0)), "p").collect()} < {x / 1e15 for x in range(10)} | {r.p for r in toxicity.score(train, toxicity.fit(train, labels.where("toxic = 0")), "p").collect()}
 
 
+def test_ftrl_against_one_coordinate_at_a_time():
+    rng = random.Random(15)
+    rows = [(np.array(sorted(rng.sample(range(60), 12) + ([70] if i % 3 == 0 else [])), np.int32), int(i % 3 == 0)) for i in range(120)]
+    b = toxicity.Bounds(epochs=2, alpha=0.3, l1=0.8)
+    index, weight, bias = toxicity._ftrl(rows, b)
+    z, n = {}, {}
+
+    def w(i):
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= b.l1 else -(x - math.copysign(b.l1, x)) / ((b.beta + math.sqrt(n[i])) / b.alpha + b.l2)
+
+    for _ in range(b.epochs):
+        for f, y in rows:
+            g = 1 / (1 + math.exp(-(sum(w(i) for i in f.tolist()) + bias))) - y
+            for i, was in [(i, w(i)) for i in f.tolist()]:
+                more = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / b.alpha
+                z[i], n[i] = z.get(i, 0) + g - more * was, n.get(i, 0) + g * g
+    got = dict(zip(index.tolist(), weight.tolist(), strict=True))
+    assert set(got) == {i for i in z if w(i)} and got[70] == max(got.values())
+    assert all(got[i] == pytest.approx(w(i), abs=1e-3) for i in got)
+
+
+def test_toxicity_features_and_scores_by_hand(spark):
+    text = "bad word " * 3 + "plain " * 200
+    block = toxicity.Block(None, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    _, index = toxicity.counted(block)
+    word = int(next(toxicity.features(block))[1][0])
+    assert [int(toxicity._as_dense(np.array([word]), n)[0]) in index for n in toxicity.DENSE] == [3 * n >= 206 for n in toxicity.DENSE]
+    model = toxicity.Model(np.array([word, *(toxicity._as_dense(np.array([word]), n)[0] for n in toxicity.DENSE)]), np.array([1, 2, 4, 8, 16, 32], np.float32), -3.0)
+    assert toxicity.Scorer(model)(block)[0] == pytest.approx(1 / (1 + math.exp(-(1 + 2 + 4 + 8 - 3))))
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.op9_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    rows = got.where("quality = 1").collect()  # junk texts are marked by chance
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.8 and np.mean([r.predicted for r in rows if not r.toxic]) <= 0.02
+
+
 def test_mixing(spark, docs, rows, none):
     planned = mixing.plan(docs.select("doc_id", "text", "source")).select("doc_id", "source", "mix.*").collect()
     size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))

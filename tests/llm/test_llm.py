@@ -347,6 +347,44 @@ def test_packing_odd_texts():
             assert encode(t.encode()) == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes(), t
 
 
+def test_packing_keeps_what_is_encoded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode, rng = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary()), random.Random(3)
+    monkeypatch.setattr(packing, "KEPT", 300)  # so that pieces go and come again
+    said = ["".join(rng.choice("abcdéß") for _ in range(rng.randrange(1, 22))) + rng.choice(["", "", ".", ",", "#", ".,"]) for _ in range(900)]
+    for _ in range(12):
+        texts = [" ".join(rng.choice(said) for _ in range(rng.randrange(60))) for _ in range(9)]
+        data = [t.encode() for t in texts]
+        ids, at = encode.of(packing.Block(None, np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_packing_sums_against_search():
+    rng = random.Random(14)
+    for _ in range(20):
+        there = [0] + [rng.choice((0, 0, 1, 2)) for _ in range(40)]
+        sums = packing.Sums(there)
+        for _ in range(60):
+            total = rng.randrange(1, 41)
+            got, want = sums.exact(total), None
+            for k in (1, 2, 3):
+                every = {t for a in range(total, 0, -1) if there[a] for t in ([(a,)] if k == 1 else [(a, b) for b in range(1, a + 1)] if k == 2 else [(a, b, c) for b in range(1, a + 1) for c in range(1, b + 1)])}
+                fits = sorted((t for t in every if sum(t) == total and all(there[x] >= t.count(x) for x in t)), reverse=True)
+                if fits:
+                    want = fits[0]
+                    break
+            assert got == want
+            for x in got or ():
+                there[x] -= 1
+
+
+def test_packing_slots_of_repeated_lengths():
+    rows = packing.slots([((40, 12, 12), 3), ((12,), 2)])
+    assert rows == [(40, 0, 3, 0, 1, 0), (12, 0, 6, 0, 2, 40), (12, 6, 8, 3, 1, 0)]
+
+
 def test_packing_patterns_use_every_piece():
     rng = random.Random(4)
     for _ in range(30):

@@ -1,37 +1,45 @@
 """Line dedup with content-defined chunks of lines.
 
 Each document's lines are hashed; a rolling hash over ``WINDOW`` line hashes ends a chunk where it is 0
-modulo ``EVERY``, and a line of at least ``LONG`` words is a chunk of its own. So boundaries depend on
-nearby lines only, and shared passages fall into equal chunks wherever they stand. Lines and chunks that
-more than one document has are found by hash over all documents. Before anything is removed the bytes
-are compared: lines are grouped by hash and text, and a hash that stands for two texts is left alone; a
-chunk is only its verified lines in order. The first owner of a line or chunk is the smallest doc_id.
-
-In a document, lines that an earlier owner (or the same document before) has form runs; blank lines do
-not end a run. A run is removed if it holds a repeated chunk of more than one line or of a long line, or
-if it has at least ``LONG`` words; so what stands at the edges of a shared passage, where the chunks
-differ, goes with it. Single short lines stay. A line's owner keeps it, so every text survives once.
-
-No group is gathered: repeated lines are counted with partial sums, their owners are joined back (an
-ordinary skewed join), and a document's own list is as long as the document.
-
-Defined cases: null and empty texts stay as they are; of rows that repeat a doc_id each is the owner's;
-rows with a null id own nothing others have, and keep one another's lines; extra columns are kept by
-``remove_repeats``.
+modulo ``EVERY`` (and ``MOST`` lines do). So boundaries depend on nearby lines only, and shared passages
+fall into equal chunks wherever they stand. Chunks of several lines, and as the smallest chunks single
+lines of at least ``ANCHOR`` words, are found by hash over all documents; the first owner of a chunk is
+the smallest document that has it. Before anything is removed the chunks' bytes are compared: those that
+several documents (or places) have are grouped by hash and text, and a hash that stands for two texts is
+left alone.
+
+Where a document has a chunk of an earlier owner (or of its own, further up), both are known to have the
+same lines in the same order there. What the chunk's edges miss is added line by line: an owner's chunk
+comes with the hashes (128 bits) of up to ``BESIDE`` lines before and after it, and neighbouring lines
+that equal them belong to the passage, too. Chunks of one owner that meet at the same distance make one
+passage. A passage is removed if it holds a chunk of several lines, or ``LONG`` words; lines that are
+repeated one by one, or in another order, stay. The owner keeps the passage, so every text survives.
+
+No group is gathered: chunks are counted with partial sums, and what is found is joined back by hash (an
+ordinary skewed join of stored rows, which is split). A document's own list is as long as the document.
+The texts are shuffled once; both steps that read them share that exchange.
+
+Defined cases: null and empty texts stay as they are; blank lines belong to a passage between its lines;
+rows equal in doc_id and text are one document, so all of them stay or lose the same; rows of one doc_id
+with other texts are documents of their own, ordered by a hash of the text, as are rows with a null id,
+which come after all others; extra columns are kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block
-from .common import fresh, map_blocks, map_rows, column, table
+from .common import column, cut, fresh, map_blocks, map_rows, table
 
-WINDOW, EVERY, LONG = 2, 3, 50
+WINDOW, EVERY, MOST = 2, 3, 64
+#: Words of a single line that is a chunk; lines to either side that a passage may be longer by; words that make a passage.
+ANCHOR, BESIDE, LONG = 10, 4, 50
 _LAST = (1 << 63) - 1
+_DIGEST = 16
 
 
 def _lines(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
@@ -41,13 +49,10 @@ def _lines(text: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
 
 
 def chunks(hashes: list[bytes], words: list[int]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk."""
+    """(first line, line after the last) of each content-defined chunk."""
     out, start, digest = [], 0, xxhash.xxh64_intdigest
-    for i, n in enumerate(words):
-        if n >= LONG and start < i:
-            out.append((start, i))
-            start = i
-        if n >= LONG or digest(b"".join(hashes[max(0, i - WINDOW + 1) : i + 1])) % EVERY == 0:
+    for i in range(len(words)):
+        if i + 1 - start >= MOST or digest(b"".join(hashes[max(0, i - WINDOW + 1) : i + 1])) % EVERY == 0:
             out.append((start, i + 1))
             start = i + 1
     if start < len(words):
@@ -55,79 +60,123 @@ def chunks(hashes: list[bytes], words: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _chunk_hash(hashes: list[bytes], a: int, b: int) -> bytes:
-    """Of a chunk of several lines; one line's chunk is the line."""
-    return hashes[a] if b - a == 1 else xxhash.xxh3_128_digest(b"chunk" + b"".join(hashes[a:b]))
+def units(hashes: list[bytes], words: list[int]) -> list[tuple[int, int]]:
+    """Chunks of several lines, and single lines with words enough."""
+    many = [(a, b) for a, b in chunks(hashes, words) if b - a > 1 and any(words[a:b])]
+    return many + [(i, i + 1) for i, n in enumerate(words) if n >= ANCHOR]
 
 
-def _units(documents: DataFrame, with_text: bool) -> DataFrame:
-    """h, text (of lines, if asked for), doc: the distinct lines, and chunks of several lines, of each document."""
+def _unit_hash(hashes: list[bytes], a: int, b: int) -> bytes:
+    return xxhash.xxh3_128_digest(b"%d " % (b - a) + b"".join(hashes[a:b]))
+
+
+_PLACE = ["id", "version", "pos"]
+
+
+def _key(documents: DataFrame) -> list[Column]:
+    """id, version (of the text; above all others for a null id)."""
+    version = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    none = F.col("doc_id").isNull()
+    return [F.when(none, F.lit(_LAST)).otherwise(F.col("doc_id").cast("long")).alias("id"), (version + F.when(none, F.lit(1 << 62)).otherwise(0)).alias("version")]
+
+
+def _units(keyed: DataFrame) -> DataFrame:
+    """h, id, version, pos, before, after: all units; with the hashes of the lines beside them."""
 
     def made(block: Block):
-        ids, h, text, row = column(block, "doc"), [], [], []
+        ids, versions = column(block, "id"), column(block, "version")
+        rows, h, pos, before, after = [], [], [], [], []
         for i in range(block.n):
-            lines, hashes, words = _lines(block.bytes_of(i))
-            here = {x: t for x, t, n in zip(hashes, lines, words, strict=True) if n}
-            here |= {_chunk_hash(hashes, a, b): None for a, b in chunks(hashes, words) if b - a > 1}
-            h += here.keys()
-            text += here.values() if with_text else [None] * len(here)
-            row += [i] * len(here)
-        yield {"h": h, "text": [t and t.decode("utf-8", "replace") for t in text], "doc": ids.take(np.array(row, np.int64))}
+            _, hashes, words = _lines(block.bytes_of(i))
+            for a, b in units(hashes, words):
+                rows.append(i)
+                h.append(_unit_hash(hashes, a, b))
+                pos.append(a)
+                before.append(b"".join(hashes[max(0, a - BESIDE) : a]))
+                after.append(b"".join(hashes[b : b + BESIDE]))
+        at = np.array(rows, np.int64)
+        yield {"h": h, "id": ids.take(at), "version": versions.take(at), "pos": pos, "before": before, "after": after}
 
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    return map_rows(keyed, made, "h binary, text string, doc long", read=("doc",))
+    return map_rows(keyed, made, "h binary, id long, version long, pos int, before binary, after binary", read=("id", "version"))
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """h, owner of lines and chunks that several documents have, with one text to the hash."""
-    exact = _units(documents, True).groupBy("h", "text").agg(F.count("*").alias("n"), F.min("doc").alias("owner"))
-    once = exact.groupBy("h").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"), F.count("*").alias("texts"))
-    return once.where((F.col("n") > 1) & (F.col("texts") == 1)).select("h", "owner")
+    """h, owner (id, version, pos, before, after) of units that are at several places."""
+    place = F.struct(*_PLACE, "before", "after")
+    return _units(documents.select(*_key(documents), "text")).groupBy("h").agg(F.min(place).alias("owner"), F.max(F.struct(*_PLACE)).alias("last")).where("owner.id != last.id OR owner.version != last.version OR owner.pos != last.pos").select("h", "owner")
 
 
-def keep_lines(text: bytes, elsewhere: set[bytes]) -> tuple[list[bool], list[int]]:
-    """For each line whether it stays, and the lines' words; ``elsewhere``: hashes with an earlier owner."""
+def passages(text: bytes, found: list[dict]) -> tuple[list[bool], list[int]]:
+    """For each line whether it stays, and the lines' words; ``found``: units with h, pos and their owner, which is another place."""
     lines, hashes, words = _lines(text)
-    seen: set[bytes] = set()
-    again, strong = [False] * len(lines), [False] * len(lines)
-    for i, (h, n) in enumerate(zip(hashes, words, strict=True)):
-        again[i] = bool(n) and (h in elsewhere or h in seen)
-        seen.add(h)
-    for a, b in chunks(hashes, words):
-        h = _chunk_hash(hashes, a, b)
-        if b - a > 1 and (h in elsewhere or h in seen) or b - a == 1 and words[a] >= LONG and again[a]:
-            strong[a:b] = [True] * (b - a)
-        seen.add(h)
-    keep, i = [True] * len(lines), 0
-    while i < len(lines):
-        j, last, total, sure = i, i, 0, False
-        while j < len(lines) and (again[j] or not words[j]):
-            if again[j]:
-                last, total, sure = j + 1, total + words[j], sure or strong[j]
-            j += 1
-        if again[i] and (sure or total >= LONG):
-            keep[i:last] = [False] * (last - i)
-        i = j if again[i] else i + 1
+    size = {(a, _unit_hash(hashes, a, b)): b - a for a, b in units(hashes, words)}
+    by: dict[tuple, list[tuple[int, int, bool]]] = {}  # of an owner and a distance, spans of equal lines
+    for x in found:
+        a, n = x["pos"], size.get((x["pos"], x["h"]))
+        if n is None:
+            continue
+        b = a + n
+        lo, hi, before, after = a, b, x["before"], x["after"]
+        while lo > 0 and a - lo < len(before) // _DIGEST and hashes[lo - 1] == before[len(before) - _DIGEST * (a - lo + 1) :][:_DIGEST]:
+            lo -= 1
+        while hi < len(lines) and hashes[hi] == after[_DIGEST * (hi - b) :][:_DIGEST]:
+            hi += 1
+        by.setdefault((x["id"], x["version"], a - x["at"]), []).append((lo, hi, n > 1))
+    keep = [True] * len(lines)
+    for spans in by.values():
+        spans.sort()
+        at = 0
+        while at < len(spans):
+            lo, hi, sure = spans[at]
+            at += 1
+            while at < len(spans) and spans[at][0] <= hi:
+                hi, sure = max(hi, spans[at][1]), sure or spans[at][2]
+                at += 1
+            if sure or sum(words[lo:hi]) >= LONG:
+                while lo < hi and not words[lo]:  # blank lines around it stay
+                    lo += 1
+                while hi > lo and not words[hi - 1]:
+                    hi -= 1
+                keep[lo:hi] = [False] * (hi - lo)
     return keep, words
 
 
+def _found(documents: DataFrame, keyed: DataFrame, key: str, name: str) -> DataFrame:
+    """``key``, ``name``: for each key of a document with repeated units, these units with their owners; a unit's hash has one text."""
+    again = cut(documents.sparkSession, repeated(documents))
+    met = _units(documents.select(*_key(documents), "text")).drop("before", "after").join(again, "h")
+    lists = met.groupBy(F.struct("id", "version").alias(key)).agg(F.collect_set(F.struct("h", "pos")).alias(name))
+
+    def spelled(block: Block):
+        found, out = column(block, name).to_pylist(), []
+        for i in range(block.n):
+            lines, hashes, words = _lines(block.bytes_of(i))
+            size = {(a, _unit_hash(hashes, a, b)): b - a for a, b in units(hashes, words)}
+            out += {(x["h"], b"\n".join(lines[x["pos"] : x["pos"] + size[x["pos"], x["h"]]])) for x in found[i]}
+        yield {"h": [h for h, _ in out], "unit": [t for _, t in out]}
+
+    # all columns are read, so that the exchange of the texts is the one that shortens them later
+    texts = map_rows(keyed.join(lists, key), spelled, "h binary, unit binary", read=[*keyed.columns, name])
+    same = texts.groupBy("h", "unit").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n")).where("n = 1").select("h")
+    mine = met.where("owner.id != id OR owner.version != version OR owner.pos != pos").join(same, "h", "left_semi")
+    unit = F.struct("h", "pos", "owner.id", "owner.version", F.col("owner.pos").alias("at"), "owner.before", "owner.after")
+    return mine.groupBy(F.struct("id", "version").alias(key)).agg(F.collect_set(unit).alias(name))
+
+
 def remove_repeats(documents: DataFrame, names: tuple[str, str, str] | None = None) -> DataFrame:
     """``documents`` with shortened texts; with ``names``, columns for lines, removed lines and removed words."""
-    gone = repeated(documents)
-    found = _units(documents, False).select("h", "doc").join(gone, "h").where(F.col("doc") != F.col("owner"))
-    hashes, key = fresh(documents, "repeats"), fresh(documents, "doc_key")
-    lists = found.groupBy(F.col("doc").alias(key)).agg(F.collect_set("h").alias(hashes))
-    keyed = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    both = keyed.join(lists, key, "left").drop(key)
+    repeats, key = fresh(documents, "repeats"), fresh(documents, "doc_key")
+    keyed = documents.withColumn(key, F.struct(*_key(documents)))
+    both = keyed.join(_found(documents, keyed, key, repeats), key, "left").drop(key)
     new = fresh(both, "kept_text")
     counts = names or tuple(fresh(both, n) for n in ("n_lines", "removed_lines", "removed_words"))
 
     def made(block: Block) -> dict[str, object]:
-        elsewhere, texts, stats = column(block, hashes).to_pylist(), [], []
+        found, texts, stats = column(block, repeats).to_pylist(), [], []
         nulls = column(block, "text").is_null().to_pylist()
         for i in range(block.n):
             text = block.bytes_of(i)
-            keep, words = keep_lines(text, set(elsewhere[i] or ()))
+            keep, words = passages(text, found[i] or [])
             if not all(keep):
                 text = b"\n".join(x for x, k in zip(text.split(b"\n"), keep, strict=True) if k)
             texts.append(None if nulls[i] else text.decode("utf-8", "replace"))

@@ -114,6 +114,80 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.remove_repeats(none).count() == 0
 
 
+def shortened(rows):
+    """The texts without repeated passages, by comparing lines; ``rows``: (order, text), each order once."""
+    D, parts = line_dedup, {}
+    for k, t in rows:
+        lines, hashes, words = D._lines(t.encode())
+        parts[k] = (lines, words, D.units(hashes, words))
+    first = {}
+    for k, (lines, _, units) in sorted(parts.items()):
+        for a, b in sorted(units):
+            first.setdefault((b - a, tuple(lines[a:b])), (k, a))
+    out = {}
+    for k, (lines, words, units) in parts.items():
+        spans = {}
+        for a, b in units:
+            o, at = first[b - a, tuple(lines[a:b])]
+            if (o, at) == (k, a):
+                continue
+            theirs, lo, hi = parts[o][0], a, b
+            while a - lo < D.BESIDE and lo > 0 and lo - 1 - a + at >= 0 and theirs[lo - 1 - a + at] == lines[lo - 1]:
+                lo -= 1
+            while hi - b < D.BESIDE and hi < len(lines) and hi - a + at < len(theirs) and theirs[hi - a + at] == lines[hi]:
+                hi += 1
+            spans.setdefault((o, a - at), []).append((set(range(lo, hi)), b - a > 1))
+        gone = set()
+        for some in spans.values():
+            every = set().union(*(x for x, _ in some))
+            while every:
+                run = {min(every)}
+                while max(run) + 1 in every and any({max(run), max(run) + 1} <= x or max(run) + 1 == min(x) for x, _ in some):
+                    run.add(max(run) + 1)
+                every -= run
+                if any(sure and x <= run for x, sure in some) or sum(words[i] for i in run) >= D.LONG:
+                    told = [i for i in run if words[i]]
+                    gone |= {i for i in run if told and min(told) <= i <= max(told)}
+        out[k] = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
+    return out
+
+
+def test_line_dedup_by_brute_force(spark):
+    rng = random.Random(77)
+    line = [prose(rng, rng.choice((1, 2, 4, 8, 11, 14, 30, 55))) for _ in range(60)] + ["", "  "]
+    passages = [[rng.choice(line) for _ in range(rng.randrange(2, 9))] for _ in range(8)]
+    texts = []
+    for _ in range(120):
+        own = []
+        for _ in range(rng.randrange(1, 5)):
+            own += rng.choice(passages) if rng.random() < 0.4 else [rng.choice(line) if rng.random() < 0.2 else prose(rng, rng.randrange(1, 20)) for _ in range(rng.randrange(1, 6))]
+        texts.append("\n".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = shortened(enumerate(texts))
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(df).collect()}
+    assert got == want and sum(want[i] != t for i, t in enumerate(texts)) > 40
+
+
+def test_line_dedup_keeps_an_order_that_nobody_else_has(spark):
+    rng = random.Random(78)
+    owned = [prose(rng, 12) for _ in range(8)]
+    rows = [(i, f"{prose(rng, 9)}\n{x}\n{prose(rng, 9)}") for i, x in enumerate(owned)] + [(100, "\n".join(owned)), (101, "\n".join(owned[::-1])), (102, f"{prose(rng, 9)}\n" + "\n".join(owned[2:7]))]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i, _ in rows[:-1]} == dict(rows[:-1])  # each line is somebody else's, but not in this order
+    assert got[102] == rows[-1][1].split("\n")[0]
+
+
+def test_line_dedup_rows_with_null_ids(spark):
+    rng = random.Random(79)
+    texts = ["\n".join(prose(rng, 15) for _ in range(6)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts] + [(7, texts[8]), (None, "own"), (None, "own"), ((1 << 63) - 1, texts[3])]
+    got = [tuple(r) for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # of the rows with id 7, the one with text 8 is before document 8
+    assert sorted(t for i, t in got if i is None) == sorted([""] * 300 + ["own"] * 2)
+    assert {i: t for i, t in got if i not in (None, 7)} == {i: "" if i == 8 or i > 300 else t for i, t in rows if i not in (None, 7)}
+    assert sorted(t for i, t in got if i == 7) == sorted([texts[7], texts[8]])
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16)) * rng.uniform(0.2, 3, size=(900, 1))

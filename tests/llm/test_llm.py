@@ -555,6 +555,21 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mix(docs.where("text is null")).count() == 0
 
 
+def test_mixing_with_any_column_names(spark, docs):
+    odd = docs.select("*", *(F.lit(1).alias(c) for c in ("r", "s", "rank", "slice", "of", "target", "lambda", "x", "key", "low", "width", "_mix", "before")))
+    out = mixing.mix(odd)
+    assert out.columns == odd.columns and out.count() == mixing.mix(docs).count()
+
+
+def test_mixing_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert sorted(map(tuple, mixing.op10_mixing(spark, sf).collect())) == sorted(con.execute(mixing.ORACLE).fetchall())
+
+
 def test_newton_solves_tilted_rates(spark):
     rng = random.Random(6)
     made = [(i, prose(rng, rng.randrange(1, 200)), "ab"[i % 2], rng.uniform(0.5, 2)) for i in range(300)]

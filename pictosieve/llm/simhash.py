@@ -4,11 +4,15 @@ A text's fingerprint takes the majority of each bit over its word shingles' XXH6
 bit counts in each of 16 segments of 4 bits, as points of a grid, lie at most their Hamming distance apart
 in Manhattan distance. So fingerprints within ``BITS`` = 2 bits have points within 2, and then a common
 cell at most 1 from both: the range join enters every point in its own cell and the up to 32 next to it,
-and keeps cells with more than one fingerprint. What is left is verified exactly: a pair within 2 bits
-also shares a number at most 1 bit from both, which lies in the common cell; each fingerprint is entered
-under its at most 4 such numbers of the cell, and those that share a number are linked in a star (at most
-65 differ by 1 bit from a number, so no group is large). No pairs are made within a group of copies:
-equal fingerprints are one vertex, and a group's links are as many as its members' entries.
+and keeps cells with more than one fingerprint. In a cell of at most ``DENSE`` fingerprints, candidates
+are pairs whose points are at most ``BITS`` apart in Manhattan distance, and pairs whose fingerprints differ
+in at most ``BITS`` bits are links. A denser cell is split by the finest grid, of segments of one bit, in
+which Manhattan distance is the Hamming distance: a pair within 2 bits has a common cell there too (a
+number at most 1 bit from both, in the coarse cell), each fingerprint enters its at most 4 numbers of the
+coarse cell, and those that share one are linked in a star, verified against its centre
+(at most 65 differ by 1 bit from a number, so no group is large). No pairs are made within a group of
+copies: equal fingerprints are one vertex. A fingerprint has at most 2080 others within 2 bits, so links
+grow with the fingerprints and not with the square of a group.
 
 Several tables (fingerprints from independently mixed hashes) may be used: documents are linked if any
 table links them, which finds near copies whose distance in one table is a little over 2.
@@ -42,6 +46,8 @@ from .blocks import Block, mix
 from .common import cut, map_blocks, table
 
 BITS, SEED, SHINGLE = 2, 42, 3
+#: Fingerprints of a cell from which it is split.
+DENSE = 64
 #: Near copies: Jaccard similarity from which texts are, bands of MinHashes, texts in half a cell.
 ALIKE, BANDS, ROWS, CELL = 0.8, 24, 5, 512
 _LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -100,11 +106,24 @@ def _entries(fps: DataFrame) -> DataFrame:
     return fps.withColumn("own", _grid(F.col("fp"))).select("t", "fp", "rep", F.explode(F.array(*around)).alias("x")).where(F.col("x").isNotNull()).select("t", "x.cell", "fp", "rep", "x.side")
 
 
+def _manhattan(x: Column, y: Column) -> Column:
+    """Between two points of the grid: the differences of their 16 numbers, added up."""
+    part = lambda p, j: F.shiftrightunsigned(p, 4 * j).bitwiseAND(F.lit(15))
+    return sum((F.abs(part(x, j) - part(y, j)) for j in range(1, 16)), F.abs(part(x, 0) - part(y, 0)))
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """``fps``: t, fp, rep; distinct (t, fp). Edges a, b between the reps of fingerprints within 2 bits, as stars."""
+    """``fps``: t, fp, rep; distinct (t, fp). Edges a, b between the reps of fingerprints within 2 bits."""
     entries = _entries(fps)
-    shared = entries.groupBy("t", "cell").count().where(F.col("count") > 1).drop("count")
+    shared = entries.groupBy("t", "cell").agg(F.count("*").alias("members")).where("members > 1")
     near = entries.join(shared, ["t", "cell"])
+    # cells of few: candidates by the distance of the points, verified by the bits
+    few = near.where(F.col("members") <= DENSE).select("t", "cell", "fp", "rep", _grid(F.col("fp")).alias("point"))
+    x, y = few.alias("x"), few.alias("y")
+    candidate = (F.col("x.t") == F.col("y.t")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & (_manhattan(F.col("x.point"), F.col("y.point")) <= BITS)
+    verified = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= BITS
+    pairs = x.join(y, candidate & verified).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    # dense cells: by the grid of single bits
     j, up = F.abs("side") - 1, F.col("side") > 0
     shared_bits = []
     for i in range(4):
@@ -112,9 +131,12 @@ def links(fps: DataFrame) -> DataFrame:
         clear = F.col("fp").bitwiseAND(bit) == 0
         shared_bits.append(F.when(clear == up, F.col("fp").bitwiseXOR(bit)))
     number = F.when(F.col("side") == 0, F.array("fp")).otherwise(F.array(*shared_bits))
-    met = near.select("t", "rep", F.explode(number).alias("number")).where(F.col("number").isNotNull())
-    groups = met.groupBy("t", "number").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    return groups.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a != b").distinct()
+    met = near.where(F.col("members") > DENSE).select("t", "fp", "rep", F.explode(number).alias("number")).where(F.col("number").isNotNull())
+    groups = met.groupBy("t", "number").agg(F.collect_set(F.struct("rep", "fp")).alias("in")).where(F.size("in") > 1)
+    centre = F.array_min("in")
+    stars = groups.select(centre.alias("c"), F.explode("in").alias("x")).where(F.bit_count(F.col("c.fp").bitwiseXOR(F.col("x.fp"))) <= BITS)
+    stars = stars.select(F.col("c.rep").alias("a"), F.col("x.rep").alias("b"))
+    return pairs.unionAll(stars).where("a != b").distinct()
 
 
 def link(spark: SparkSession, documents: DataFrame, shingle: int = SHINGLE, tables: int = 1) -> DataFrame:

@@ -288,7 +288,7 @@ def test_near_copies_go_row_by_row(spark):
     assert sorted(map(tuple, simhash.deduplicate(spark, df).collect()), key=key) == sorted([(1, a), (2, b), (None, c), (3, d), (4, "")], key=key)
 
 
-def test_simhash_links_all_close_pairs(spark):
+def test_simhash_links_all_close_pairs(spark, monkeypatch):
     rng = random.Random(9)
     xs = [0, (1 << 64) - 1] + [rng.getrandbits(64) for _ in range(60)]
     for x in list(xs):
@@ -302,6 +302,11 @@ def test_simhash_links_all_close_pairs(spark):
     df = spark.createDataFrame([(0, s, i) for i, s in enumerate(signed)], "t int, fp long, rep long")
     from pictosieve.operators.components import components
 
+    every = {(a, b) for a in range(len(xs)) for b in range(len(xs)) if a < b and (xs[a] ^ xs[b]).bit_count() <= 2}
+    for dense in (64, 2):  # all pairs of small cells, stars of dense ones
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        edges = {tuple(sorted(r)) for r in simhash.links(df).collect()}
+        assert edges == every if dense == 64 else edges <= every
     roots = {r.v: r.root for r in components(spark, simhash.links(df)).collect()}
     want = list(range(len(xs)))
     for _ in range(8):
@@ -312,6 +317,17 @@ def test_simhash_links_all_close_pairs(spark):
     assert all(roots.get(i, i) == want[i] for i in range(len(xs)))
 
 
+def test_simhash_points_bound_the_bits(spark):
+    rng = random.Random(10)
+    pairs = [(x, x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) for x in (rng.getrandbits(64) for _ in range(200))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long")
+    got = df.select("a", "b", simhash._manhattan(simhash._grid(F.col("a")), simhash._grid(F.col("b"))).alias("d")).collect()
+    for r in got:
+        want = sum(abs((r.a >> 4 * j & 15).bit_count() - (r.b >> 4 * j & 15).bit_count()) for j in range(16))
+        assert r.d == want <= ((r.a ^ r.b) % (1 << 64)).bit_count()
+
+
 def test_lz_fingerprint(spark, docs, rows, none):
     def phrases(data):
         seen, at = set(), 0

@@ -212,20 +212,41 @@ def test_ann(spark):
     assert ann.search(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_ann_index_without_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST", 0)  # else all of a table this small is reranked
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = ann.valid(df).collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+def test_ann_ranks_few_of_many_vectors(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 45_000
+    assert ann.VISITS * ann.CANDIDATES < 0.1 * n and n * ann.POSTS // ann.FILE > ann.VISITS  # less than a tenth, and not all files
+    x = np.random.default_rng(11).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:15_000] = x[100]  # a third are copies
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/e.parquet")
     got = {}
-    for r in ann.search(spark, df, F.col("vec_id") % 20 == 0, share=0.12).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    hit = total = 0
-    for i in np.flatnonzero(ids % 20 == 0):
-        score = np.where(ids == ids[i], -np.inf, x @ x[i])
-        hit += len(got[ids[i]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
-        total += 20
-    assert 0.9 <= hit / total < 1
+    for r in ann.search(spark, spark.read.parquet(f"{tmp_path}/e.parquet"), F.col("vec_id") % 300 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    v, hit = x.astype(np.float64), 0
+    assert set(got) == set(range(0, n, 300))
+    for i, near in got.items():
+        near = sorted(near)
+        assert [r for r, *_ in near] == list(range(1, 21)) and all(s == pytest.approx(v[j] @ v[i], abs=1e-9) for _, j, s in near)
+        score = np.round(np.where(np.arange(n) == i, -np.inf, v @ v[i]), 12)
+        hit += len({j for _, j, _ in near} & set(np.lexsort((np.arange(n), -score))[:20].tolist()))
+    assert 0.9 <= hit / 20 / len(got) < 1
+
+
+def test_ann_shards_and_lists(spark):
+    rng = np.random.default_rng(12)
+    v, pivots = rng.normal(size=(600, 8)), rng.normal(size=(30, 9))
+    u = np.hstack([v, np.zeros((600, 1))])
+    shard = ann.Shard(u, v, np.arange(600), pivots, 10)
+    for q in rng.normal(size=(20, 8)):
+        order = ann._places(np.append(q, 0)[None], pivots, 10)[0]
+        place = [{p: 10 - i for i, p in enumerate(o)} for o in ann._places(u, pivots, 10).tolist()]
+        agree = np.array([sum(min(w.get(p, 0), 10 - i) for i, p in enumerate(order.tolist())) for w in place])
+        few = np.flatnonzero(agree >= np.sort(agree)[-ann.CANDIDATES])
+        want = sorted(few, key=lambda j: (-(v[j] * q).sum(), j))[:5]
+        assert shard.nearest(q, order, 5)[0].tolist() == want
 
 
 def fingerprint(text, k=3):

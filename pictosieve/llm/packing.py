@@ -42,9 +42,9 @@ from .common import column, cut, map_rows, table
 SIZE = 2048
 END = 0
 #: Pieces whose ids a task keeps; when there are more, those that fewest blocks had go.
-KEPT = 1_000_000
+KEPT = 700_000
 #: Bytes of the pieces that are kept, and of text that is looked up at once; bits of a place in the hash table.
-LONGEST, AT_ONCE, SLOT_BITS = 16, 4 << 20, 22
+LONGEST, AT_ONCE, SLOT_BITS = 16, 2 << 20, 21
 
 
 #: What stands between pieces; A-Z are lower-cased, as the tokenizer does.

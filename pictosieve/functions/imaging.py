@@ -19,8 +19,10 @@ from .scalars import ahash, dhash, thumbnail_side
 
 #: Bytes of a file in which its header is looked for.
 HEADER = 131072
-#: Smallest preview that is taken, and how far it is looked for.
-PREVIEW, PREVIEW_WITHIN = 10_000, 50 << 20
+#: Size under which a preview is taken only if there is no larger one, and how far it is looked for.
+PREVIEW, PREVIEW_WITHIN = 10 * 1024, 50 << 20
+#: Longest side of the raster that blockiness and blurring are measured on, and the shortest side that is measured.
+RASTER, LEAST_SIDE = 512, 16
 
 HEADER_SCHEMA = "width int, height int, date_taken string, gps_lat double, gps_lon double, camera string, lens string, iso int, focal_length string, description string"
 #: EXIF tag numbers.
@@ -141,16 +143,15 @@ def header(content: Column) -> Column:
 
 
 def preview_of(data: bytes) -> bytes | None:
-    """The largest JPEG inside a raw file that is large enough and has dimensions."""
-    best, at, data = None, 0, data[:PREVIEW_WITHIN]
-    while (start := data.find(b"\xff\xd8\xff", at)) >= 0:
-        end = data.find(b"\xff\xd9", start)
-        if end < 0:
-            break
-        part, at = data[start : end + 2], start + 3
-        if len(part) >= PREVIEW and dimensions(part) and (best is None or len(part) > len(best)):
-            best, at = part, end + 2
-    return best
+    """The largest JPEG inside a raw file that has dimensions; a small one only if there is no other."""
+    best, small, at, data = None, None, 2, data[:PREVIEW_WITHIN]
+    while (start := data.find(b"\xff\xd8", at)) >= 0 and (end := data.find(b"\xff\xd9", start + 2)) >= 0:
+        part, at = data[start : end + 2], start + 1
+        if len(part) < PREVIEW:
+            small = small or part
+        elif dimensions(part):
+            best, at = max(best or b"", part, key=len), end + 2
+    return best or small
 
 
 @F.pandas_udf(T.BinaryType())
@@ -158,10 +159,20 @@ def preview(content: pd.Series) -> pd.Series:
     return content.map(lambda x: preview_of(bytes(x or b"")))
 
 
+def _path(origin: Column) -> Column:
+    """The path as the file source has it, from the escaped address that the image source gives."""
+    return F.url_decode(F.replace(F.regexp_replace(origin, "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+
+
+def literal(path: str) -> str:
+    """The path with what a reader would take for a pattern escaped."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
 def decoded(spark: SparkSession, *paths: str) -> DataFrame:
     """path, width, height, d_hash, a_hash of images that the JVM can decode (JPEG, PNG, BMP, GIF, TIFF)."""
     images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(list(paths))
-    pixels = images.select(F.regexp_replace("image.origin", "^file:(//)?", "").alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
+    pixels = images.select(_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
 
     def grid(across: int, down: int) -> Column:
         """Luminances of 16-bit channels at the nearest pixels; the data are rows of blue, green, red (and alpha)."""
@@ -180,6 +191,28 @@ def decoded(spark: SparkSession, *paths: str) -> DataFrame:
     return pixels.withColumn("g9", grid(9, 8)).withColumn("g8", grid(8, 8)).select("path", "width", "height", dhash(F.col("g9")).alias("d_hash"), ahash(F.col("g8")).alias("a_hash"))
 
 
+def rasters(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, y, x, gray (0 to 255): nearest pixels of pictures, the longer side at most ``RASTER``; small pictures have none."""
+    @F.pandas_udf("array<array<double>>")
+    def lines(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for d, w, h, c in zip(data, width, height, channels, strict=True):
+            ratio = min(1.0, RASTER / max(w, h))
+            tw, th = int(w * ratio), int(h * ratio)
+            source = np.frombuffer(bytes(d), np.uint8).reshape(h, w, c)
+            some = source[np.arange(th) * h // th][:, np.arange(tw) * w // tw].astype(np.int64) * 257
+            if c == 4:
+                some = some[..., :3] * some[..., 3:] // 65535
+            bgr = some[..., :3] if c > 1 else np.repeat(some, 3, axis=2)
+            out.append(((299 * bgr[..., 2] + 587 * bgr[..., 1] + 114 * bgr[..., 0]) / 1000 / 256).tolist())
+        return pd.Series(out)
+
+    images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(list(paths))
+    big = images.where(f"image.width >= {LEAST_SIDE} AND image.height >= {LEAST_SIDE}")
+    rows = big.select(_path(F.col("image.origin")).alias("path"), F.posexplode(lines("image.data", "image.width", "image.height", "image.nChannels")).alias("y", "line"))
+    return rows.select("path", "y", F.posexplode("line").alias("x", "gray"))
+
+
 def _png(pixels: np.ndarray) -> bytes:
     """Rows of red, green, blue as a PNG file."""
     h, w, _ = pixels.shape
@@ -204,6 +237,6 @@ def thumbnails(spark: SparkSession, *paths: str, most: int = 400) -> DataFrame:
         return pd.Series(out)
 
     images = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(list(paths))
-    pixels = images.select(F.regexp_replace("image.origin", "^file:(//)?", "").alias("path"), F.col("image.data").alias("data"), F.col("image.width").alias("sw"), F.col("image.height").alias("sh"), F.col("image.nChannels").alias("c"))
+    pixels = images.select(_path(F.col("image.origin")).alias("path"), F.col("image.data").alias("data"), F.col("image.width").alias("sw"), F.col("image.height").alias("sh"), F.col("image.nChannels").alias("c"))
     sized = pixels.withColumn("width", thumbnail_side(F.col("sw"), F.col("sh"), most)).withColumn("height", thumbnail_side(F.col("sh"), F.col("sw"), most))
     return sized.select("path", "width", "height", F.base64(shrink("data", "sw", "sh", "c", "width", "height")).alias("thumbnail"))

@@ -15,6 +15,16 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"(\.[^.]*)\z", 1))
 
 
+def shown_extension(path: Column) -> Column:
+    """What follows the last dot of the path, upper-case; empty if there is none."""
+    return F.when(path.contains("."), F.upper(F.substring_index(path, ".", -1))).otherwise("")
+
+
+def shown_date(taken: Column) -> Column:
+    """As "May 6, 2024 07:08 AM"; ``--`` if there is none, and what is no date as it is."""
+    return F.when(F.coalesce(taken, F.lit("")) == "", "--").otherwise(F.coalesce(F.date_format(F.try_to_timestamp(taken), "MMM d, yyyy hh:mm a"), taken))
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.[^.]*\z", "")
 

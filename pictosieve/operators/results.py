@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import base_name, difference, parent
+from ..functions.scalars import base_name, difference, format_bytes, parent, short_path, shown_date, shown_extension
 from ..request import FilterSpec, SortSpec
 
 
@@ -54,6 +54,36 @@ def sort_images(images: DataFrame, spec: SortSpec) -> DataFrame:
     return images.withColumn("place", F.row_number().over(order))
 
 
+def view(images: DataFrame, narrowed: FilterSpec, sort: SortSpec | None = None) -> DataFrame:
+    """What a table shows: the images that pass, with the place of their group (by difference) and their own in it."""
+    from .groups import summaries
+
+    out = narrow(images, narrowed)
+    sort = sort or SortSpec()
+    places = sort_groups(summaries(out), descending=sort.key == "diff" and sort.descending).select("group_id", F.col("place").alias("group_place"))
+    return sort_images(out, sort).join(places, "group_id")
+
+
+def image_rows(images: DataFrame, promoted: DataFrame | None = None, pending: DataFrame | None = None) -> DataFrame:
+    """A table's row for each image: group_id, path, status, pending, name, folder, extension, dimensions, size, taken."""
+    none = images.select("path").limit(0)
+    up, gone = ((none if x is None else x.select("path").distinct()) for x in (promoted, pending))
+    marked = images.join(up.withColumn("_up", F.lit(True)), "path", "left").join(gone.withColumn("_gone", F.lit(True)), "path", "left")
+    p, known = F.col("path"), (F.col("width") > 0) & (F.col("height") > 0)
+    return marked.select(
+        "group_id", "path", F.when(F.col("is_best") | F.coalesce("_up", F.lit(False)), "Original").otherwise("Duplicate").alias("status"), F.coalesce("_gone", F.lit(False)).alias("pending"),
+        base_name(p).alias("name"), short_path(parent(p)).alias("folder"), shown_extension(p).alias("extension"),
+        F.when(known, F.concat(F.col("width").cast("string"), F.lit("\u00d7"), F.col("height").cast("string"))).otherwise("--").alias("dimensions"), format_bytes(F.col("size")).alias("shown_size"), shown_date(F.col("date_taken")).alias("taken"),
+    )
+
+
+def counters(selected: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row of labels: of the selected groups, and of the deletions to confirm (empty if there are none)."""
+    several = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+    groups, paths = selected.agg(F.count_distinct("group_id").alias("g")), pending.agg(F.count_distinct("path").alias("p"))
+    return groups.crossJoin(F.broadcast(paths)).select(several(F.col("g"), "group").alias("groups"), F.when(F.col("p") > 0, F.concat(F.lit("Confirm "), several(F.col("p"), "deletion"))).otherwise("").alias("deletions"))
+
+
 def folders(images: DataFrame) -> DataFrame:
     """folder, images, sorted; the row ``All`` counts all."""
     return images.groupBy(parent(F.col("path")).alias("f")).agg(F.count("*").alias("n")).rollup("f").agg(F.sum("n").alias("images")).select(F.coalesce("f", F.lit("All")).alias("folder"), "images").orderBy("folder")

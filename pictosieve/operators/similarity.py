@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,21 +24,36 @@ def pairs(photos: DataFrame, threshold: int) -> DataFrame:
     return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (near <= threshold)).select("a", "b", near.cast("int").alias("distance"))
 
 
-def pairs_banded(photos: DataFrame, threshold: int) -> DataFrame:
-    """As ``pairs``, for large buckets: two hashes within t bits agree on one of t + 1 bands of them.
+#: Thresholds up to which hashes that agree on one band, or on two of more bands, are few enough to compare.
+ONE_BAND, TWO_BANDS = 9, 14
+
+
+def pairs_banded(photos: DataFrame, threshold: int, agree: int = 1) -> DataFrame:
+    """As ``pairs``, for large buckets: two hashes within t bits agree on ``agree`` of t + ``agree`` bands of them.
 
-    A pair is emitted for the first band it agrees on, so no ``distinct`` is needed.
+    A pair is emitted for the first bands it agrees on, so no ``distinct`` is needed.
     """
-    n = threshold + 1
+    n = threshold + agree
     edges = [64 * i // n for i in range(n + 1)]
-    bands = [F.call_function("shiftrightunsigned", F.col("d_hash"), F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) for a, b in zip(edges, edges[1:], strict=False)]
-    split = photos.select("path", "bucket", "d_hash", F.array(*bands).alias("bands"))
-    split = split.select("path", "bucket", "d_hash", "bands", F.posexplode("bands").alias("band", "value"))
-    left = split.select(F.col("path").alias("a"), "bucket", "band", "value", F.col("d_hash").alias("ha"), F.col("bands").alias("za"))
-    right = split.select(F.col("path").alias("b"), "bucket", "band", "value", F.col("d_hash").alias("hb"), F.col("bands").alias("zb"))
-    near = hamming(F.col("ha"), F.col("hb"))
-    first = F.array_position(F.zip_with("za", "zb", lambda x, y: x == y), True) - 1
-    return left.join(right, ["bucket", "band", "value"]).where((F.col("a") < F.col("b")) & (near <= threshold) & (F.col("band") == first)).select("a", "b", near.cast("int").alias("distance"))
+    masks = [(((1 << (b - a)) - 1) << a) - (1 << 64 if b == 64 else 0) for a, b in zip(edges, edges[1:], strict=False)]
+    sets = list(combinations(masks, agree))
+    keys = F.array(*(F.struct(F.lit(i).alias("set"), F.col("d_hash").bitwiseAND(F.lit(sum(some))).alias("value")) for i, some in enumerate(sets)))
+    split = photos.select("path", "bucket", "d_hash", F.explode(keys).alias("k")).select("path", "bucket", "d_hash", "k.set", "k.value")
+    left = split.select(F.col("path").alias("a"), "bucket", "set", "value", F.col("d_hash").alias("ha"))
+    right = split.select(F.col("path").alias("b"), "bucket", "set", "value", F.col("d_hash").alias("hb"))
+    near, differ = hamming(F.col("ha"), F.col("hb")), F.col("ha").bitwiseXOR(F.col("hb"))
+    # the numbers of the bands they agree on; the first ones are the set's
+    same = F.filter(F.array(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks))), lambda i: i.isNotNull())
+    own = F.element_at(F.array(*(F.array(*map(F.lit, some)) for some in combinations(range(n), agree))), F.col("set") + 1)
+    met = left.join(right, ["bucket", "set", "value"]).where((F.col("a") < F.col("b")) & (near <= threshold))
+    return met.where(F.slice(same, 1, agree) == own).select("a", "b", near.cast("int").alias("distance"))
+
+
+def near_pairs(photos: DataFrame, threshold: int) -> DataFrame:
+    """``pairs`` by whatever tells hashes apart at the threshold: one band, two bands, or beyond that only the bucket."""
+    if threshold > TWO_BANDS:
+        return pairs(photos, threshold)
+    return pairs_banded(photos, threshold, 1 if threshold <= ONE_BAND else 2)
 
 
 def one_each(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,14 +66,13 @@ def one_each(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
 def perceptual_members(spark: SparkSession, photos: DataFrame, threshold: int, banded: bool | None = None) -> DataFrame:
     """path, group_path, min_distance of photos that a chain of near hashes links.
 
-    ``banded`` None: by bands if they are long enough (at least 6 bits) to tell hashes apart.
+    ``banded`` None: by the bands that suit the threshold.
     """
-    first, copies = one_each(hashable(photos))
-    by_bands = threshold <= 9 if banded is None else banded
-    edges = (pairs_banded if by_bands else pairs)(first, threshold).unionByName(copies)
     from ..storage import cut
 
-    edges = cut(spark, edges)
+    first, copies = one_each(hashable(photos))
+    found = near_pairs(first, threshold) if banded is None else (pairs_banded if banded else pairs)(first, threshold)
+    edges = cut(spark, found.unionByName(copies))
     roots = components(spark, edges)
     nearest = edges.join(roots, F.col("a") == F.col("v")).groupBy("root").agg(F.min("distance").alias("min_distance"))
     return roots.join(nearest, "root").select(F.col("v").alias("path"), F.col("root").alias("group_path"), "min_distance")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +21,20 @@ def directory(folder: str, root: str, algorithm: str = "dhash") -> str:
     return f"{folder}/{hashlib.sha256(root.encode()).hexdigest()[:16]}-{algorithm}-v{VERSION}"
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[int], list[int]]:
+    """The file system, and the numbers of all stored versions and of the complete ones."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    every = sorted(int(n[8:]) for n in names if n.startswith("version=") and n[8:].isdigit())
+    return fs, every, [n for n in every if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={n}/_SUCCESS"))]
+
+
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The cache, empty if there is none."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    """The newest complete version of the cache, empty if there is none."""
+    _, _, complete = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={complete[-1]}") if complete else spark.createDataFrame([], schema)
 
 
 def merge(*caches: DataFrame) -> DataFrame:
@@ -60,11 +65,10 @@ def updated(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def save(cache: DataFrame, path: str) -> None:
-    """Written beside and then swapped in, as Spark cannot overwrite what it reads."""
+    """A version of its own; older ones go when it is complete, so that a crash at any point leaves one."""
     spark = cache.sparkSession
-    jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    cache.write.mode("overwrite").parquet(path + ".new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs, every, _ = _versions(spark, path)
+    new = every[-1] + 1 if every else 1
+    cache.write.parquet(f"{path}/version={new}")
+    for old in every:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)

@@ -35,6 +35,11 @@ def select(files: DataFrame, request: ScanRequest) -> DataFrame:
     return out.dropDuplicates(["path"])
 
 
+def plain(path: Column) -> Column:
+    """A local path without its scheme."""
+    return F.regexp_replace(path, "^file:(//)?", "")
+
+
 def listing(spark: SparkSession, request: ScanRequest) -> DataFrame:
     """path, size, mtime, content of the files below the roots; roots that are not there give nothing.
 
@@ -50,5 +55,4 @@ def listing(spark: SparkSession, request: ScanRequest) -> DataFrame:
         return spark.createDataFrame([], "path string, size long, mtime timestamp, content binary")
     names = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in re.sub(r"[^.\w]", "", e)) for e in request.wanted)
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + names + "}").load(roots)
-    path = F.regexp_replace("path", "^file:(//)?", "")
-    return read.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    return read.select(plain(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")

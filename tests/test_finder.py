@@ -66,7 +66,9 @@ def test_bands_find_the_same_pairs(spark):
     hashes += [h ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for h in hashes for _ in range(2)]
     df = spark.createDataFrame([(f"p{i}", "b", h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hashes)], "path string, bucket string, d_hash long")
     for t in (0, 4, 10):
-        assert sorted(map(tuple, similarity.pairs(df, t).collect())) == sorted(map(tuple, similarity.pairs_banded(df, t).collect()))
+        want = sorted(map(tuple, similarity.pairs(df, t).collect()))
+        assert want == sorted(map(tuple, similarity.pairs_banded(df, t).collect())) == sorted(map(tuple, similarity.near_pairs(df, t).collect()))
+        assert want == sorted(map(tuple, similarity.pairs_banded(df, t, 2).collect()))
 
 
 def test_flat_raster(spark):
@@ -123,6 +125,53 @@ def test_scan_hashes_pictures_of_all_folders(spark, tmp_path):
     assert out.count() == 1011 and out.where("d_hash is null").count() == 0
 
 
+def test_scan_of_odd_names_and_a_cached_second_scan(spark, tmp_path, monkeypatch):
+    picture = lambda k: png(18, 16, lambda x, y: ((x * 37 + y * 11 + k * x * y) % 256, (x * x + y) % 256, (y * 29) % 256))
+    names = ["my photo é.png", "100%.png", "a+b.png", "x#y.png", "b[1].png", "q{2}.png", "%41.png", "日本 語.png"]
+    (tmp_path / "in").mkdir()
+    for i, n in enumerate(names):
+        (tmp_path / "in" / n).write_bytes(picture(0)[:-4] + bytes([i, 0, 0, 0]))  # one picture, contents of one size
+    (tmp_path / "in" / "alone.png").write_bytes(picture(3) + b"more")
+    heard = []
+    out = engine.scan(spark, ScanRequest(str(tmp_path / "in")), str(tmp_path / "cache"), told=lambda phase, n: heard.append((phase, n)))
+    photos = {r.path.rsplit("/", 1)[1]: r for r in out.photos.collect()}
+    assert set(photos) == {*names, "alone.png"} and all(r.d_hash for r in photos.values())
+    assert photos["alone.png"].digest is None and all(photos[n].digest for n in names)
+    assert {r.path.rsplit("/", 1)[1] for r in out.images.collect()} >= set(names) and heard[:2] == [("listed", 9), ("hashed", 9)]
+    (tmp_path / "in" / "new.png").write_bytes(picture(5) + b"x" * 99)
+    seen = []
+    real = engine.decoded
+    monkeypatch.setattr(engine, "decoded", lambda spark, *paths: seen.extend(paths) or real(spark, *paths))
+    again = engine.scan(spark, ScanRequest(str(tmp_path / "in")), str(tmp_path / "cache"))
+    assert [p.rsplit("/", 1)[1] for p in seen] == ["new.png"] and again.photos.count() == 10
+    assert engine.scan(spark, ScanRequest(str(tmp_path / "in")), stop=lambda: True).status == "cancelled"
+    quality = {r.path.rsplit("/", 1)[1]: (r.blockiness, r.blurring) for r in engine.picture_quality(spark, str(tmp_path / "in" / "b[1].png"), str(tmp_path / "in" / "a+b.png")).collect()}
+    assert set(quality) == {"b[1].png", "a+b.png"} and len(set(quality.values())) == 1
+
+
+def test_rows_and_counters(spark):
+    from pictosieve.operators import results
+
+    assert one(spark, S.shown_extension(F.lit("/a/b.tar.gz")), S.shown_extension(F.lit("ab")), S.shown_date(F.lit("")), S.shown_date(F.lit("soon")), S.shown_date(F.lit("2024-05-06T07:08:09"))) == ("GZ", "", "--", "soon", "May 6, 2024 07:08 AM")
+    images = spark.createDataFrame([("g", "/x/y/z/a.jpg", True, 4, 3, 10, ""), ("g", "/x/b.png", False, 0, 3, 0, "2024-05-06")], "group_id string, path string, is_best boolean, width int, height int, size long, date_taken string")
+    rows = {r.name: r for r in results.image_rows(images, images.where("path like '%b.png'"), images.where("is_best")).collect()}
+    assert rows["a.jpg"].dimensions == "4\u00d73" and rows["a.jpg"].pending and rows["a.jpg"].folder == ".../y/z" and rows["b.png"].status == "Original" and rows["b.png"].dimensions == "--"
+    assert tuple(results.counters(images, images).first()) == ("1 group", "Confirm 2 deletions") and results.counters(images.limit(0), images.limit(0)).first()[1] == ""
+
+
+def test_cache_versions(spark, tmp_path):
+    from pictosieve.sources import cache
+
+    at, schema = str(tmp_path / "c"), "path string, size long"
+    assert cache.load(spark, at, schema).count() == 0
+    cache.save(spark.createDataFrame([("a", 1)], schema), at)
+    cache.save(cache.load(spark, at, schema).unionAll(spark.createDataFrame([("b", 2)], schema)), at)
+    (tmp_path / "c" / "version=9").mkdir()  # of a scan that did not end
+    assert cache.load(spark, at, schema).count() == 2
+    cache.save(spark.createDataFrame([("c", 3)], schema), at)
+    assert [r.path for r in cache.load(spark, at, schema).collect()] == ["c"]
+
+
 def test_thumbnails_and_pixel_hashes(spark, tmp_path):
     import base64
 
@@ -145,4 +194,6 @@ def test_headers():
     found = imaging.exif(jpeg)
     assert found["camera"] == "X1" and found["iso"] == 200 and found["date_taken"] == "2024-05-06T07:08:09"
     assert imaging.preview_of(b"raw" * 9 + jpeg + b"end") == jpeg and imaging.preview_of(b"raw") is None
+    small = b"\xff\xd8\xff\xe0 small \xff\xd9"
+    assert imaging.preview_of(b"raw" + small + b"-" + jpeg) == jpeg and imaging.preview_of(b"raw" + small) == small
     assert imaging.dimensions(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6) and imaging.dimensions(b"") is None

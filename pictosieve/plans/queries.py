@@ -351,6 +351,30 @@ def sort_images_by_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return results.sort_images(_images(spark, d), SortSpec("dim", descending=True)).select("group_id", "path", "place")
 
 
+@query(f"{_G} SELECT group_id, path, (row_number() OVER (PARTITION BY group_id ORDER BY lower(path) DESC, rank))::INT AS place FROM images")
+def sort_images_by_path(spark: SparkSession, d: str) -> DataFrame:
+    return results.sort_images(_images(spark, d), SortSpec("path", descending=True)).select("group_id", "path", "place")
+
+
+@query(f"{_G} SELECT group_id, path, (row_number() OVER (PARTITION BY group_id ORDER BY lower(ext), rank))::INT AS place FROM images")
+def sort_images_by_extension(spark: SparkSession, d: str) -> DataFrame:
+    return results.sort_images(_images(spark, d), SortSpec("ext")).select("group_id", "path", "place")
+
+
+@query(f"{_G} SELECT group_id, path, (row_number() OVER (PARTITION BY group_id ORDER BY size DESC, rank))::INT AS place FROM images")
+def sort_images_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return results.sort_images(_images(spark, d), SortSpec("size", descending=True)).select("group_id", "path", "place")
+
+
+@query(f"""{_G}, passed AS (SELECT * FROM images WHERE group_id IN (SELECT group_id FROM images WHERE path LIKE '/library/src1/%') AND size >= 200 AND 100 - confidence <= 25),
+kept AS (SELECT * FROM passed QUALIFY count(*) OVER (PARTITION BY group_id) >= 2),
+placed AS (SELECT group_id, (row_number() OVER (ORDER BY round(100 - confidence, 1), group_id))::INT AS group_place FROM kept GROUP BY group_id, confidence)
+SELECT group_id, path, group_place, (row_number() OVER (PARTITION BY group_id ORDER BY size DESC, rank))::INT AS place FROM kept JOIN placed USING (group_id)""")
+def view_narrowed_and_sorted(spark: SparkSession, d: str) -> DataFrame:
+    spec = FilterSpec(folder="/library/src1", min_size=200, max_diff=25)
+    return results.view(_images(spark, d), spec, SortSpec("size", descending=True)).select("group_id", "path", "group_place", "place")
+
+
 @query(f"{_G} SELECT coalesce(folder, 'All') AS folder, count(*) AS images FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM images) GROUP BY ROLLUP (folder)")
 def folder_rollup(spark: SparkSession, d: str) -> DataFrame:
     return results.folders(_images(spark, d))
@@ -382,6 +406,13 @@ def after_delete(spark: SparkSession, d: str) -> DataFrame:
     return results.after_delete(images, results.keep_best(images, *_picked(images))).select("group_id", "path")
 
 
+@query(f"{_G}, {_KEEP} SELECT (SELECT count(DISTINCT group_id) || ' group' || CASE WHEN count(DISTINCT group_id) = 1 THEN '' ELSE 's' END FROM images WHERE {_SELECTED}) AS groups, "
+       "(SELECT CASE WHEN count(*) = 0 THEN '' ELSE 'Confirm ' || count(*) || ' deletion' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END END FROM keep) AS deletions")
+def batch_counters(spark: SparkSession, d: str) -> DataFrame:
+    images = _images(spark, d)
+    return results.counters(_picked(images)[0], results.keep_best(images, *_picked(images)))
+
+
 @query()
 def mismatch_report(spark: SparkSession, d: str) -> DataFrame:
     from ..storage import cut
@@ -435,3 +466,13 @@ def thumbnail_size(spark: SparkSession, d: str) -> DataFrame:
     return X.order_photos(spark, d).select("photo_id", S.thumbnail_side(w, h).alias("width"), S.thumbnail_side(h, w).alias("height"))
 
 
+# ---- rows of a table
+
+
+@query(f"""{_G}, r AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS up, size AS n FROM images)
+SELECT group_id, path, CASE WHEN rank = 1 OR rank = 2 AND size % 3 = 0 THEN 'Original' ELSE 'Duplicate' END AS status, rank = 3 AS pending, regexp_extract(path, '[^/]*$') AS name,
+  CASE WHEN len(string_split(up, '/')) <= 3 THEN up ELSE '.../' || array_to_string(string_split(up, '/')[-2:], '/') END AS folder, upper(regexp_extract(path, '[^.]*$')) AS extension,
+  CASE WHEN width > 0 AND height > 0 THEN width || '\u00d7' || height ELSE '--' END AS dimensions, {_BYTES} AS shown_size, CASE WHEN date_taken = '' THEN '--' ELSE strftime(date_taken::TIMESTAMP, '%b %-d, %Y %I:%M %p') END AS taken FROM r""")
+def image_rows(spark: SparkSession, d: str) -> DataFrame:
+    images = _images(spark, d)
+    return results.image_rows(images, _picked(images)[1], images.where("rank = 3").select("path"))

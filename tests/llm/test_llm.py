@@ -415,6 +415,41 @@ def test_html_keeps_lists_and_tables_between_paragraphs():
         assert html_extract.main_text(f"<article>{page}</article>").split("\n")[1:301] == cells
 
 
+def test_html_scores_decide(monkeypatch):
+    text = "The article says this, and that; it is long enough to be content of its own."
+    short = "".join(f"<div>Entry {i}</div>" for i in range(8))
+    page = f'<body><div class="promo">Buy this, now; and that, too.</div><div class="x">{short}</div><div class="c"><p>{text}</p><p>{text}</p></div></body>'
+    assert html_extract.main_text(page) == f"{text}\n{text}"
+    monkeypatch.setattr(html_extract, "SHARE", 0)
+    monkeypatch.setattr(html_extract, "SHARE_IN_ARTICLE", 0)
+    assert html_extract.main_text(page).split("\n") == ["Buy this, now; and that, too.", *(f"Entry {i}" for i in range(8)), text, text]
+
+
+def test_html_names_are_a_prior_only():
+    text = "The article says this, and that; it is long enough to be content of its own."
+    for said in ("content has-sidebar", "content no-sidebar", "post related-topic", "search-result article-body", "hentry share-enabled"):
+        assert html_extract.main_text(f'<body><nav>Home</nav><div class="{said}"><h1>Head</h1><p>{text}</p><p>{text}</p></div></body>') == f"Head\n{text}\n{text}"
+    page = f"<article><header><h1>Title</h1></header><p>{text}</p><p>Let <math><mi>x</mi></math> be a number, as it is.</p></article><header>Site</header>"
+    assert html_extract.main_text(page) == f"Title\n{text}\nLet x be a number, as it is."
+
+
+def test_html_of_hostile_pages_takes_linear_time():
+    import time
+
+    for part, n in (("<p", 500_000), ("<div>x", 160_000), ('<p ">', 200_000), ("</script", 100_000), ("<a '>", 200_000)):
+        began = time.time()
+        html_extract.main_text(("<script>" if part == "</script" else "") + part * n)
+        assert time.time() - began < 30, part
+    began = time.time()
+    html_extract.main_text("<p" * 500_000)
+    assert time.time() - began < 1
+
+
+def test_html_with_columns_of_the_same_names(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "x", 5)], "page_id long, html string, text string, n_chars int")
+    assert html_extract.extract(pages).columns == ["page_id", "html", "text", "n_chars", "_text", "_n_chars"]
+
+
 def test_html(spark):
     want = "A headline\nThe first paragraph, with a link & more; so it goes on, and on.\nA new line, too, of some length.\nUnclosed second one, which has commas, as texts do."
     assert html_extract.main_text(PAGE) == want

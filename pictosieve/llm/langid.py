@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, LETTERS, Block, Rolling, Words, mix, words
-from .common import column, crc32_mod, map_blocks, map_rows, table
+from .common import column, crc32_mod, fresh, map_blocks, map_rows, table
 
 BITS = 18
 SEGMENT = 32
@@ -157,6 +157,8 @@ def _learn(w: Words, label: np.ndarray, langs: tuple[str, ...], b: Bounds) -> Mo
     ptr = np.searchsorted(word[order], np.arange(len(w.starts) + 1))
     texts = [np.flatnonzero((label == i) & (w.counts > 0)) for i in range(k)]
     usable = [i for i in range(k) if len(texts[i])]
+    if usable and len(usable) < k:  # a language without words is not learned
+        return _learn(w, np.array([usable.index(i) if i in usable else -1 for i in label.tolist()], np.int64), tuple(langs[i] for i in usable), b)
     weights, trans = np.zeros((1 << BITS, k)), np.zeros((k, k))
     seen_w, seen_t = np.full((1 << BITS, k), 1e-6), np.full((k, k), 1e-6)
     if not usable:
@@ -238,7 +240,9 @@ def fit(documents: DataFrame, bounds: Bounds = Bounds()) -> Model:
             made.append(b" ".join(w.low[s:e].tobytes() for s, e in zip(w.starts[at:to], w.ends[at:to], strict=True)))
         yield {"y": y, "o": o, "run": made}
 
-    rows = map_rows(documents.select("doc_id", "text").join(F.broadcast(best), "doc_id"), runs, "y int, o long, run binary", read=("y", "o"))
+    # of rows that repeat an id, one is learned from
+    texts = documents.select("doc_id", "text").join(F.broadcast(best), "doc_id").groupBy("doc_id", "y", "o").agg(F.min("text").alias("text"))
+    rows = map_rows(texts, runs, "y int, o long, run binary", read=("y", "o"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r["o"], r["run"], r["y"]) for b in batches for r in b.to_pylist())
@@ -246,12 +250,13 @@ def fit(documents: DataFrame, bounds: Bounds = Bounds()) -> Model:
         block = Block(None, np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(r) for _, r, _ in got])]).astype(np.int64))
         model = _learn(words(block, LETTERS), np.array([y for *_, y in got], np.int64), langs, bounds)
         used = np.flatnonzero(np.abs(model.weights).max(axis=1, initial=0) > 1e-3)
-        yield pa.RecordBatch.from_pydict({"i": [used.astype(np.int32).tobytes()], "w": [model.weights[used].astype(np.float32).tobytes()], "t": [model.transitions.tobytes()], "n": [len(model.langs)]})
+        yield pa.RecordBatch.from_pydict({"i": [used.astype(np.int32).tobytes()], "w": [model.weights[used].astype(np.float32).tobytes()], "t": [model.transitions.tobytes()], "n": [len(model.langs)], "l": [list(model.langs)]})
 
     # of the sample, which is bounded, one task learns
-    out = rows.repartition(1).mapInArrow(train, "i binary, w binary, t binary, n long").first()
+    out = rows.repartition(1).mapInArrow(train, "i binary, w binary, t binary, n long, l array<string>").first()
     if out is None or not out.n:
         return Model((), np.zeros((1, 0)), np.zeros((0, 0)))
+    langs = tuple(out.l)
     weights = np.zeros((1 << BITS, len(langs)), np.float32)
     weights[np.frombuffer(out.i, np.int32)] = np.frombuffer(out.w, np.float32).reshape(-1, len(langs))
     return Model(langs, weights, np.frombuffer(out.t).reshape(len(langs), -1))
@@ -281,13 +286,15 @@ def _unshare(sent) -> Model:
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``documents`` with lang_pred, score (mean probability of it over the words), and n_other: words that are likelier of another language."""
+    """``documents`` with lang_pred, score (mean probability of it over the words), and n_other: words that are likelier of another language; underscores before a name that a kept column has."""
     sent, kept = _share(model), []
+    held = documents.select(*keep) if keep is not None else documents
+    lang_pred, score_, n_other = (fresh(held, c) for c in ("lang_pred", "score", "n_other"))
 
     def made(block: Block) -> dict[str, object]:
         w = words(block, LETTERS)
         if not sent[2]:
-            return {"lang_pred": ["und"] * block.n, "score": np.zeros(block.n), "n_other": np.zeros(block.n, np.int64)}
+            return {lang_pred: ["und"] * block.n, score_: np.zeros(block.n), n_other: np.zeros(block.n, np.int64)}
         if not kept:
             kept.append(_unshare(sent))
         m = kept[0]
@@ -299,10 +306,10 @@ def identify(documents: DataFrame, model: Model, keep: list[str] | None = None)
         score = np.where(ok, np.clip(total[np.arange(block.n), best] / np.maximum(1, w.counts), 0, 1), 0.0)
         text = w.text_of()
         other = np.bincount(text, p.argmax(axis=1) != best[text], block.n).astype(np.int64)
-        return {"lang_pred": [m.langs[j] if x else "und" for j, x in zip(best, ok, strict=True)], "score": score, "n_other": np.where(ok, other, 0)}
+        return {lang_pred: [m.langs[j] if x else "und" for j, x in zip(best, ok, strict=True)], score_: score, n_other: np.where(ok, other, 0)}
 
     most = 4 * BLOCK_BYTES // max(4, len(model.langs))
-    return map_blocks(documents, made, "lang_pred string, score double, n_other long", keep=keep, most=most)
+    return map_blocks(documents, made, f"`{lang_pred}` string, `{score_}` double, `{n_other}` long", keep=keep, most=most)
 
 
 def label_words(documents: DataFrame, model: Model) -> DataFrame:

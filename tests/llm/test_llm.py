@@ -79,6 +79,16 @@ def test_language(spark, docs, rows, none):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(none), keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_of_odd_tables(spark):
+    made = [(i % 20, "lorem ipsum dolor" if i % 2 else "zwik kwoz wazk", ("aa", "bb")[i % 2 == 0], 1) for i in range(200)] + [(900, "12 …", "cc", 1), (901, None, "cc", 1)]
+    train = spark.createDataFrame(made, "doc_id long, text string, lang string, score int")
+    model = langid.fit(train)
+    assert model.langs == ("aa", "bb")  # nothing can be learned of cc
+    out = langid.identify(train, model)
+    assert out.columns == ["doc_id", "text", "lang", "score", "lang_pred", "_score", "n_other"]
+    assert all(r.lang_pred == (r.lang if r.lang != "cc" else "und") for r in out.collect())
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     scores, trans, lengths = rng.normal(size=(150, 3)), rng.normal(size=(3, 3)), [0, 1, 33, 70, 0, 46]

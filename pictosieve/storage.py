@@ -5,15 +5,18 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: as the cluster names it, else (as in tests) a local one of our own."""
+    """The checkpoint folder: as the cluster names it, else one of our own in the warehouse, or in local mode a temporary one."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
         if not named:
             named = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)

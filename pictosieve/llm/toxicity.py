@@ -38,6 +38,8 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 DENSE = (400, 200, 100, 50, 25)
 #: What marking a clean text costs, in toxic texts that are missed; bounds of the bias' offset.
 ERROR, OFFSET = 5, 3.0
+#: Log-odds that the offset does not lift the bias above, so that a text without evidence is not marked.
+NO_EVIDENCE = -1.0
 _KINDS = {k: np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i, k in enumerate(("word", "pair", "skip", *PREFIXES))}
 
 
@@ -140,7 +142,7 @@ def _offset(rows: list[tuple[np.ndarray, int]], b: Bounds) -> float:
     missed, marked = np.searchsorted(np.sort(score[y]), cuts), (~y).sum() - np.searchsorted(np.sort(score[~y]), cuts)
     cost = missed + ERROR * marked
     best = cuts[cost == cost.min()]
-    return float(np.clip(-(best[0] + best[-1]) / 2, -OFFSET, OFFSET))
+    return float(np.clip(-(best[0] + best[-1]) / 2, -OFFSET, min(OFFSET, max(0.0, NO_EVIDENCE - bias))))
 
 
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", bounds: Bounds = Bounds()) -> Model:

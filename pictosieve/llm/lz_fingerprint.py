@@ -110,12 +110,11 @@ def fingerprint(text: str | None) -> str:
     return _text(Parsed(text or "").signature)
 
 
-def _range(x: Column, bounds: list[int], first: int = 0) -> Column:
-    """The number of ``bounds`` (descending) that are not under ``x``, by bisection."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(x <= bounds[mid], _range(x, bounds[mid + 1 :], first + mid + 1)).otherwise(_range(x, bounds[:mid], first))
+def _range(x: Column, bounds: Column, n: int) -> Column:
+    """The number of the ``n`` bounds (descending) that are not under ``x``, by bisection; as long for any ``n``."""
+    halves = [1 << k for k in reversed(range(n.bit_length()))]
+    step = lambda at, h: F.when((at + h <= n) & (F.get(bounds, at + h - 1) >= x), at + h).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step) if n else F.lit(0)
 
 
 def with_next(documents: DataFrame) -> DataFrame:
@@ -126,9 +125,10 @@ def with_next(documents: DataFrame) -> DataFrame:
     stats = documents.agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", points, F.lit(max(10_000, 20 * parts))).alias("at")).first()
     bounds = sorted({b for b in stats["at"] or [] if b != stats["top"]}, reverse=True)
     last = len(bounds)
-    part = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(_range(F.col("doc_id"), bounds))
+    posts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
+    part = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(_range(F.col("doc_id"), posts, last))
     own = F.struct(part.alias("part"), F.lit(False).alias("ahead"))
-    before = F.when(F.col("doc_id").isin(bounds) if bounds else F.lit(False), F.struct((part - 1).alias("part"), F.lit(True).alias("ahead")))
+    before = F.when(F.get(posts, part - 1) == F.col("doc_id") if bounds else F.lit(False), F.struct((part - 1).alias("part"), F.lit(True).alias("ahead")))
     around = F.when(F.col("doc_id").eqNullSafe(F.lit(stats["top"]).cast("long")), F.struct(F.lit(last).alias("part"), F.lit(True).alias("ahead")))
     dealt = documents.select("doc_id", "text", F.inline(F.filter(F.array(own, before, around), lambda x: x.isNotNull())))
     ranges = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions("ahead", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))

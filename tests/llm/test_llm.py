@@ -388,6 +388,16 @@ def test_lz_fingerprint(spark, docs, rows, none):
     assert lz_fingerprint.with_next(docs.where("doc_id = 30")).count() == 1
 
 
+def test_lz_ranges(spark):
+    """The range of an id is the number of bounds not under it, for few and for very many bounds."""
+    for n in (0, 1, 2, 7, 8, 5000):
+        bounds = list(range(3 * n, 0, -3))
+        posts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+        ids = spark.range(-2, 3 * n + 5, 1 if n < 10 else 7)
+        got = ids.select("id", lz_fingerprint._range(F.col("id"), posts, n).alias("p")).collect()
+        assert all(r.p == sum(b >= r.id for b in bounds) for r in got)
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="with-sidebar"><header><h1>Site</h1></header><div id="main-menu"><ul><li><a href=1>Home</a></li></ul></div>
 <div class="content"><h2>A headline</h2><p>The first   paragraph, with <a href="x">a link</a> &amp; more; so it goes on, and on.<br>A new line, too, of some length.<p>Unclosed <b>second</b> one, which has commas, as texts do.</div>
 <div class="comments"><p>A comment, long enough to be taken for text, but it is not.</p></div><div class="cookie-notice">We use cookies, as all do.</div><form><label>Name</label></form><aside>More</aside><footer>&copy; us</footer><script>if (a<b) "<p>x</p>"</script></body></html>"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import confidence, extension, quality_score
+from ..functions.scalars import base_name, confidence, extension, quality_score
 from .series import SURE, filename_series, time_series
 from .similarity import perceptual_members
 
@@ -63,10 +63,10 @@ def summaries(images: DataFrame) -> DataFrame:
     ).orderBy(F.desc("images"), "group_id")
 
 
-def nested(images: DataFrame) -> DataFrame:
-    """Groups with their images as an array, best first: what a viewer takes."""
-    cols = [c for c in images.columns if c not in ("group_id", "group_path", "match_type", "confidence", "rank")]
-    return images.groupBy("group_id", "match_type", "confidence").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias("images"))
+def json_lines(images: DataFrame) -> DataFrame:
+    """group_id, rank, json: an image with its group's fields as one JSON text, so a group of any size stays dealt in rows."""
+    shown = F.struct("group_id", "match_type", "confidence", "rank", "path", base_name(F.col("path")).alias("filename"), "size", "width", "height", "quality_score", "is_best")
+    return images.select("group_id", "rank", F.to_json(shown).alias("json"))
 
 
 def stats(photos: DataFrame, images: DataFrame) -> DataFrame:

@@ -255,6 +255,12 @@ def group_images_ranked(spark: SparkSession, d: str) -> DataFrame:
     return _images(spark, d).select("group_id", "rank", "path", "quality_score", "is_best")
 
 
+@query(f"""{_G} SELECT group_id, rank::INT AS rank, to_json({{'group_id': group_id, 'match_type': match_type, 'confidence': confidence, 'rank': rank, 'path': path, 'filename': regexp_extract(path, '[^/]*$'),
+  'size': size, 'width': width, 'height': height, 'quality_score': quality_score, 'is_best': rank = 1}})::VARCHAR AS json FROM images""")
+def result_json(spark: SparkSession, d: str) -> DataFrame:
+    return groups.json_lines(_images(spark, d))
+
+
 _SUMS = "sums AS (SELECT group_id, match_type, confidence, count(*) AS images, coalesce(sum(size) FILTER (rank > 1), 0)::BIGINT AS wasted_bytes, max(path) FILTER (rank = 1) AS best FROM images GROUP BY ALL)"
 
 
@@ -413,7 +419,9 @@ def batch_counters(spark: SparkSession, d: str) -> DataFrame:
     return results.counters(_picked(images)[0], results.keep_best(images, *_picked(images)))
 
 
-@query()
+@query(f"""{_G} SELECT coalesce((SELECT to_json({{'report_type': 'mismatch', 'group_id': group_id, 'match_type': match_type, 'confidence': confidence, 'timestamp': '2024-01-01T00:00:00Z',
+  'images': list({{'rank': rank, 'path': path, 'filename': regexp_extract(path, '[^/]*$'), 'size': size, 'width': width, 'height': height, 'quality_score': quality_score, 'is_best': rank = 1, 'digest': digest, 'd_hash': lower(printf('%016x', d_hash))}} ORDER BY rank)}})::VARCHAR
+  FROM images WHERE group_id = (SELECT min(group_id) FROM images) GROUP BY group_id, match_type, confidence), '{{"error":"group not found"}}') AS report""")
 def mismatch_report(spark: SparkSession, d: str) -> DataFrame:
     from ..storage import cut
 

@@ -76,7 +76,7 @@ def test_flat_raster(spark):
     assert raster.blockiness(df, "i").first()[1] == 0.0 and raster.blurring(df, "i").first()[1] == 100.0
 
 
-@pytest.mark.parametrize("name", ["scan_filtered", "exact_groups", "cache_writeback", "dhash_fingerprint", "ahash_pairs", "hamming_pairs_banded", "filename_series", "quality_best", "duplicate_groups", "folder_rollup", "after_delete", "format_bytes", "view_narrowed_and_sorted", "batch_counters", "image_rows", "sort_images_by_extension"])
+@pytest.mark.parametrize("name", ["scan_filtered", "exact_groups", "cache_writeback", "dhash_fingerprint", "ahash_pairs", "hamming_pairs_banded", "filename_series", "quality_best", "duplicate_groups", "folder_rollup", "after_delete", "format_bytes", "view_narrowed_and_sorted", "batch_counters", "image_rows", "sort_images_by_extension", "result_json", "mismatch_report"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in "customer lineitem orders events documents embeddings pages".split():

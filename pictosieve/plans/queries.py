@@ -229,8 +229,8 @@ def series_relabel(spark: SparkSession, d: str) -> DataFrame:
     return _images(spark, d).groupBy("match_type").agg(F.count("*").alias("images"), F.count_distinct("group_id").alias("groups"))
 
 
-def _images(spark: SparkSession, d: str) -> DataFrame:
-    photos = X.photos(spark, d)
+def _images(spark: SparkSession, d: str, photos: DataFrame | None = None) -> DataFrame:
+    photos = X.photos(spark, d) if photos is None else photos
     return groups.ranked(groups.members(spark, photos, X.THRESHOLD), photos)
 
 
@@ -276,7 +276,8 @@ def wasted_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_G} SELECT (SELECT count(*) FROM photos) AS total_files, count(DISTINCT group_id) AS duplicate_groups, coalesce(sum(size) FILTER (rank > 1), 0)::BIGINT AS wasted_bytes FROM images")
 def scan_stats(spark: SparkSession, d: str) -> DataFrame:
-    return groups.stats(X.photos(spark, d), _images(spark, d))
+    photos = X.photos(spark, d)
+    return groups.stats(photos, _images(spark, d, photos))
 
 
 @query(f"{_G} SELECT DISTINCT path FROM images")
@@ -425,9 +426,10 @@ def batch_counters(spark: SparkSession, d: str) -> DataFrame:
 def mismatch_report(spark: SparkSession, d: str) -> DataFrame:
     from ..storage import cut
 
-    images = cut(spark, _images(spark, d))
+    photos = X.photos(spark, d)
+    images = cut(spark, _images(spark, d, photos))
     first = images.agg(F.min("group_id")).first()[0]
-    return results.report(images, X.photos(spark, d), first or "", F.lit("2024-01-01T00:00:00Z").cast("timestamp"))
+    return results.report(images, photos, first or "", F.lit("2024-01-01T00:00:00Z").cast("timestamp"))
 
 
 # ---- formats

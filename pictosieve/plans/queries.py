@@ -299,7 +299,7 @@ def blockiness(spark: SparkSession, d: str) -> DataFrame:
 v AS (SELECT doc_id, sum(l * l) / count(l) - (sum(l) / count(l)) * (sum(l) / count(l)) AS v FROM s GROUP BY doc_id)
 SELECT doc_id, CASE WHEN v < 0.01 THEN 100 ELSE round(greatest(0, least(100, 100 - 0.2::DOUBLE * v)), 2) END::DOUBLE AS blurring FROM v""")
 def blurring(spark: SparkSession, d: str) -> DataFrame:
-    return raster.blurring(X.photo_raster(_listed(spark, d)), "doc_id")
+    return raster.blurring_whole(X.large(_listed(spark, d)), "doc_id")
 
 
 # ---- views of a result

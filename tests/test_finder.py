@@ -13,7 +13,7 @@ from pictosieve.operators import components, raster, series, similarity
 from pictosieve.plans import engine
 from pictosieve.plans import queries as Q
 from pictosieve.request import SUPPORTED, ScanRequest
-from pictosieve.sources import files
+from pictosieve.sources import files, fixtures
 from pictosieve.streaming.incremental import watch
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +94,32 @@ def test_flat_raster(spark):
     assert raster.blockiness(df, "i").first()[1] == 0.0 and raster.blurring(df, "i").first()[1] == 100.0
 
 
+def test_whole_rasters_blur_as_their_pixels(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    images = [(i, w, h, "".join(chr(rng.choice((97, 233, 0x20AC, 0x1F600))) for _ in range(w * h + 3))) for i, (w, h) in enumerate(((16, 16), (40, 19), (17, 60), (16, 1)))]
+    df = spark.createDataFrame([*images, (9, 20, 20, "a" * 400)], "doc_id long, width long, height long, text string")
+    pixels = spark.createDataFrame([(i, k // w, k % w, ord(t[k])) for i, w, h, t in images for k in range(w * h)], "doc_id long, y int, x int, gray long")
+    for lines in (raster.AT_ONCE, 50):  # at once, and a line after the other
+        monkeypatch.setattr(raster, "AT_ONCE", lines)
+        assert sorted(map(tuple, raster.blurring_whole(df, "doc_id").collect())) == [*sorted(map(tuple, raster.blurring(pixels, "doc_id").collect())), (9, 100.0)]
+    assert "Exchange" not in raster.blurring_whole(df, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = {r[0]: r[1] for r in con.execute(Q.ORACLES["blurring"]).fetchall()}
+    got = {r.doc_id: r.blurring for r in Q.blurring(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_grid_of_any_characters(spark):
+    rows = [(1, "\ufeff\U0001f600a\u00e9" * 40, 8, 20), (2, "", 1, 0), (3, "ab", 1, 2)]
+    grids = {r.doc_id: r.grid for r in fixtures.photo_grid(spark.createDataFrame(rows, "doc_id long, text string, width long, height long")).collect()}
+    for i, t, w, h in rows:
+        places = [(k // 9 * h // 8) * w + k % 9 * w // 9 for k in range(72)]
+        assert grids[i] == [ord(t[p]) if p < len(t) else 0 for p in places]
+
+
 @pytest.mark.parametrize("name", ["scan_filtered", "exact_groups", "cache_writeback", "dhash_fingerprint", "ahash_pairs", "hamming_pairs_banded", "filename_series", "quality_best", "duplicate_groups", "folder_rollup", "after_delete", "format_bytes", "view_narrowed_and_sorted", "batch_counters", "image_rows", "sort_images_by_extension", "result_json", "mismatch_report"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()

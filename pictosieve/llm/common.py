@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,14 @@ def _small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(key, str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system: it may wait for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_blocks(df: DataFrame, fn: Callable[[Block], dict[str, object]], added: str, text: str = "text", keep: Iterable[str] | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """``df``'s columns ``keep`` (all if None) with the columns that ``fn`` makes of each block.
 
@@ -57,6 +66,8 @@ def map_blocks(df: DataFrame, fn: Callable[[Block], dict[str, object]], added: s
             cols = [block.rows.column(block.rows.schema.get_field_index(c)) for c in keep]
             cols += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], kind) for f, kind in zip(new.fields, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+            del block, made, cols
+        give_back()
 
     return df.select(*(_quoted(c) for c in read)).mapInArrow(run, schema)
 
@@ -73,6 +84,8 @@ def map_rows(df: DataFrame, fn: Callable[[Block], Iterable[dict[str, object]]],
         for block in blocks(batches, text, most):
             for made in fn(block):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+            del block
+        give_back()
 
     return df.select(*(_quoted(c) for c in dict.fromkeys([*read, text]))).mapInArrow(run, kind)
 

@@ -17,10 +17,11 @@ grow with the fingerprints and not with the square of a group.
 Several tables (fingerprints from independently mixed hashes) may be used: documents are linked if any
 table links them, which finds near copies whose distance in one table is a little over 2.
 
-``deduplicate`` does not use fingerprints, which differ by far more than 2 bits at the similarity it asks
-for. Its candidates are texts that share one of ``BANDS`` bands of ``ROWS`` MinHashes (a pair at a Jaccard
-similarity of 0.8 does with a chance of 0.9999), and links are pairs of candidates whose sets of shingles
-have a Jaccard similarity of at least ``ALIKE``, counted on the texts. Texts of equal sets are one vertex.
+``deduplicate`` links as above the fingerprints of its shingles, of 5 words. Pairs at the similarity that it asks
+for may differ by far more than 2 bits, so it adds links to those: candidates are texts that share one of ``BANDS``
+bands of ``ROWS`` MinHashes (a pair at a Jaccard similarity of 0.8 does with a chance of 0.9999), and of them pairs
+whose sets of shingles have a Jaccard similarity of at least ``ALIKE``, counted on the texts, are links too. Texts of equal sets are one
+vertex.
 A bucket (texts that share a band) is compared in cells of about two times ``CELL`` texts at most, so that
 any two of its texts meet in one; a cell gives links as stars, not pairs. Cells of a bucket grow with the
 square of its size over ``CELL``.
@@ -158,24 +159,26 @@ def link(spark: SparkSession, documents: DataFrame, shingle: int = SHINGLE, tabl
 
 
 def near_sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_key, near_set, bands: the set of shingles by its hash, and its keys in each band (none if empty)."""
+    """doc_id, text_key, fp, near_set, bands: the fingerprint, the set of shingles by its hash, and its keys in each band (none if empty)."""
     rng = np.random.default_rng(SEED)
     times = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     fold = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def made(block: Block) -> dict[str, object]:
-        sets, bands = [], []
+        fps, sets, bands = [], [], []
         for i in range(block.n):
-            h = np.unique(shingle_hashes(block.bytes_of(i), shingle))
+            every = shingle_hashes(block.bytes_of(i), shingle)
+            fps.append(fingerprint(every))
+            h = np.unique(every)
             sets.append(xxhash.xxh128_digest(h.tobytes()))
             least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
             for at in range(0, len(h), 4096):
                 least = np.minimum(least, (h[at : at + 4096, None] * times).min(axis=0))
             bands.append(mix((mix(least.reshape(BANDS, ROWS)) * fold).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist() if len(h) else [])
-        return {"near_set": sets, "bands": bands}
+        return {"fp": fps, "near_set": sets, "bands": bands}
 
     keyed = documents.select("doc_id", "text", F.md5("text").alias("text_key"))
-    return map_blocks(keyed, made, "near_set binary, bands array<long>", keep=["doc_id", "text_key"])
+    return map_blocks(keyed, made, "fp long, near_set binary, bands array<long>", keep=["doc_id", "text_key"])
 
 
 def _alike(texts: list[bytes], shingle: int) -> np.ndarray:
@@ -195,8 +198,16 @@ def _alike(texts: list[bytes], shingle: int) -> np.ndarray:
     return root
 
 
+def set_links(docs: DataFrame) -> DataFrame:
+    """a, b: sets of shingles whose texts have fingerprints within ``BITS``; those of one fingerprint are a star. ``docs``: fp, near_set."""
+    by_fp = docs.select("fp", "near_set").distinct()
+    reps = by_fp.groupBy("fp").agg(F.min("near_set").alias("rep"))
+    same = by_fp.join(reps, "fp").where("near_set != rep").select(F.col("rep").alias("a"), F.col("near_set").alias("b"))
+    return links(reps.select(F.lit(0).alias("t"), "fp", "rep")).unionAll(same)
+
+
 def near_copies(spark: SparkSession, documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_key, stays: of each component of pairs that share a band and are ``ALIKE``, the row with the least id and text."""
+    """doc_id, text_key, stays: of each component of fingerprints within ``BITS`` and of pairs that share a band and are ``ALIKE``, the row with the least id and text."""
     docs = cut(spark, near_sets(documents, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.coalesce("text_key", F.lit("")).alias("key"))
     nodes = docs.groupBy("near_set").agg(F.min(row).alias("least"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
@@ -215,8 +226,8 @@ def near_copies(spark: SparkSession, documents: DataFrame, shingle: int = 5) ->
         tied = root != np.arange(len(root))
         return pa.table({"a": node.filter(pa.array(tied)), "b": node.take(pa.array(root[tied]))})
 
-    edges = celled.join(texts, "text_key").groupBy("t", "band", "i", "j").applyInArrow(linked, "a binary, b binary")
-    root = components(spark, edges)
+    alike = celled.join(texts, "text_key").groupBy("t", "band", "i", "j").applyInArrow(linked, "a binary, b binary")
+    root = components(spark, cut(spark, set_links(docs)).unionAll(alike))
     named = nodes.join(root, nodes["near_set"] == root["v"], "left").select("near_set", "least", F.coalesce("root", "near_set").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("stays"))
     return docs.join(named.join(least, "root").select("near_set", "stays"), "near_set").select("doc_id", F.coalesce("text_key", F.lit("")).alias("text_key"), (F.col("stays") == row).alias("stays"))

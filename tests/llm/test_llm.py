@@ -310,6 +310,19 @@ def test_near_copies_with_edited_words(spark, monkeypatch):
         assert pairs > 1000 and kept == set(root)
 
 
+def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
+    rng = random.Random(41)
+    # each shingle of the refrain is repeated, so it decides the bits, while the sets have less than 0.8 in common
+    refrain = [f"r{i}" for i in range(31)] * 60
+    texts = [" ".join(refrain + [f"w{rng.randrange(10**6)}" for _ in range(n)]) for n in (12, 13, 12)] + [prose(rng, 100)]
+    bits = [fingerprint(t, 5) for t in texts]
+    assert all((x ^ y).bit_count() <= 2 for x in bits[:3] for y in bits[:3]) and all((x ^ bits[3]).bit_count() > 2 for x in bits[:3])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for link in (simhash._alike, lambda texts, shingle: np.arange(len(texts))):  # also without links by MinHashes
+        monkeypatch.setattr(simhash, "_alike", link)
+        assert sorted(r.doc_id for r in simhash.deduplicate(spark, df).collect()) == [0, 3]
+
+
 def test_near_copies_go_row_by_row(spark):
     rng = random.Random(31)
     a, b, c, d = (prose(rng, 200) for _ in range(4))

@@ -162,7 +162,7 @@ def test_hash_without_its_grid(spark):
     assert df.where("want <> got").count() == 0 and df.where("got <> 0").count() > 30
 
 
-@pytest.mark.parametrize("name", ["filter_size", "group_images_ranked", "scan_stats"])
+@pytest.mark.parametrize("name", ["filter_size", "group_images_ranked", "scan_stats", "sort_images_by_dimensions"])
 def test_grouped_query_in_several_parts_equals_its_sql(spark, name, monkeypatch):
     monkeypatch.setattr(similarity, "PART", 12)
     test_query_equals_its_sql(spark, name)

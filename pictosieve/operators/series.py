@@ -22,6 +22,23 @@ def filename_series(members: DataFrame, group: str, path: str) -> DataFrame:
     return gaps.groupBy(group).agg(F.coalesce(regular, F.lit(False)).alias("by_name"))
 
 
+def possible_series(members: DataFrame, group: str, path: str) -> DataFrame:
+    """group: all that can be a series by name or by time, told by counts alone, so that only these are sorted and parsed.
+
+    ``members`` has date_taken and camera. Steps of at most ``STEP`` reach from the first number to the last and leave
+    out no whole multiple: of those between, each 64th is asked for.
+    """
+    known = lambda c: F.when(F.col(c) != "", 1)
+    some = members.select(group, series_number(F.col(path)).alias("number"), known("date_taken").alias("dated"), known("camera").alias("shot"))
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    step, n = div(F.col("number"), STEP), F.count("*")
+    asked = F.count_distinct(F.when(step % 64 == 0, step))
+    by_name = (F.count("number") == n) & (F.max("number") - F.min("number") <= STEP * (n - 1))
+    by_name &= asked == div(div(F.max("number"), STEP), 64) - div(div(F.min("number"), STEP) + 63, 64) + 1
+    by_time = (F.count("dated") == n) & (F.count("shot") == n)
+    return some.groupBy(group).agg(((n > 1) & (F.coalesce(by_name, F.lit(False)) | by_time)).alias("possible")).where("possible").select(group)
+
+
 def time_series(members: DataFrame, group: str, taken: Column, camera: Column) -> DataFrame:
     """group, by_time: whether all have one camera and were taken within ``SECONDS``."""
     shown = members.select(group, taken.alias("taken"), F.when(camera != "", camera).alias("camera"))

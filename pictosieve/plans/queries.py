@@ -231,7 +231,7 @@ def series_relabel(spark: SparkSession, d: str) -> DataFrame:
 
 def _images(spark: SparkSession, d: str, photos: DataFrame | None = None) -> DataFrame:
     photos = X.photos(spark, d) if photos is None else photos
-    return groups.ranked(groups.members(spark, photos, X.THRESHOLD), photos)
+    return groups.ranked(groups.members(spark, photos, X.THRESHOLD, keep=groups.IMAGE[1:]))
 
 
 @query(f"WITH {X.ORDER_PHOTOS} SELECT photo_id, quality_score FROM order_photos")
@@ -277,7 +277,8 @@ def wasted_bytes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_G} SELECT (SELECT count(*) FROM photos) AS total_files, count(DISTINCT group_id) AS duplicate_groups, coalesce(sum(size) FILTER (rank > 1), 0)::BIGINT AS wasted_bytes FROM images")
 def scan_stats(spark: SparkSession, d: str) -> DataFrame:
     photos = X.photos(spark, d)
-    return groups.stats(photos, _images(spark, d, photos))
+    exact, near = groups.linked(spark, photos, X.THRESHOLD, keep=groups.IMAGE[1:])
+    return groups.stats_of_members(photos, exact.unionByName(near.drop("min_distance")))
 
 
 @query(f"{_G} SELECT DISTINCT path FROM images")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pictosieve.functions import imaging
 from pictosieve.functions import scalars as S
-from pictosieve.operators import components, raster, series, similarity
+from pictosieve.operators import components, groups, raster, series, similarity
 from pictosieve.plans import engine
 from pictosieve.plans import queries as Q
 from pictosieve.request import SUPPORTED, ScanRequest
@@ -289,3 +289,35 @@ def test_headers():
     small = b"\xff\xd8\xff\xe0 small \xff\xd9"
     assert imaging.preview_of(b"raw" + small + b"-" + jpeg) == jpeg and imaging.preview_of(b"raw" + small) == small
     assert imaging.dimensions(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6) and imaging.dimensions(b"") is None
+
+
+def test_joined_at_once_equals_rounds(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(f"{rng.randrange(300):03d}", f"{rng.randrange(300):03d}") for _ in range(200)] + [("é", "z"), ("\U0001f600", "é")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    found = [sorted(map(tuple, components.components(spark, df, n).collect())) for n in (0, 199, 10_000)]
+    assert found[0] == found[1] == found[2] and ("\U0001f600", "z") in found[0]
+    assert components.components(spark, df.limit(0), 10).count() == 0
+    assert sorted(map(tuple, components.components(spark, spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"), 5).collect())) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_stats_need_no_order_within_groups(spark):
+    photos = fixtures.photos(spark, SF)
+    exact, near = groups.linked(spark, photos, fixtures.THRESHOLD, keep=groups.IMAGE[1:])
+    out = groups.stats_of_members(photos, exact.unionByName(near.drop("min_distance")))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    images = groups.ranked(groups.members(spark, photos, fixtures.THRESHOLD), photos)
+    assert tuple(out.first()) == tuple(groups.stats(photos, images).first())
+    assert tuple(groups.stats_of_members(photos, exact.limit(0)).first())[1:] == (0, 0)
+
+
+def test_hash_is_made_in_batches_and_not_by_a_lambda(spark, monkeypatch):
+    assert "ArrowEvalPython" in fixtures.photo_files(spark, SF).select(fixtures.photo_dhash().alias("h"))._jdf.queryExecution().executedPlan().toString()
+    import pyarrow as pa
+
+    text, side = ["aé\U0001f600" * 30, None, "", "zy" * 50, "b"], [3, 2, 1, 4, None]
+    whole = fixtures._dhashes(pa.array(text), pa.array(side), pa.array(side)).to_pylist()
+    monkeypatch.setattr(fixtures, "PLACED", 1)
+    assert fixtures._dhashes(pa.array(["x", *text])[1:], pa.array(side), pa.array(side)).to_pylist() == whole and whole[1:3] == [0, 0]

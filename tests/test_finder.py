@@ -303,6 +303,25 @@ def test_joined_at_once_equals_rounds(spark):
     assert sorted(map(tuple, components.components(spark, spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"), 5).collect())) == [(1, 1), (2, 1), (3, 1)]
 
 
+def test_possible_series_leaves_none_out_and_most_others(spark):
+    import random
+
+    rng, rows, want = random.Random(7), [], {}
+    for g in range(200):
+        at, names = rng.randrange(5000), []
+        for _ in range(rng.randrange(1, 400)):
+            names.append(at)
+            at += rng.choice((0, 1, 5)) if g % 2 else rng.choice((1, 2, 5, 5, 6))
+        want[g] = len(names) > 1 and all(b - a <= 5 for a, b in zip(names, names[1:], strict=False))
+        rows += [(g, f"/x/IMG_{k:06d}.jpg", "", "") for k in names]
+    rows += [(2000, f"/x/IMG_{k:06d}.jpg", "", "c") for k in range(20000) if rng.random() < 0.4]
+    rows += [(1000, "/x/a.jpg", "2024-05-06", "c"), (1000, "/x/b.jpg", "2024-05-06", "c"), (1001, "/x/a.jpg", "2024-05-06", "c"), (1001, "/x/b.jpg", "", "c")]
+    df = spark.createDataFrame(rows, "g long, path string, date_taken string, camera string")
+    named = {r.g for r in series.filename_series(df, "g", "path").where("by_name").collect()}
+    possible = {r.g for r in series.possible_series(df, "g", "path").collect()}
+    assert named == {g for g, x in want.items() if x} and named | {1000} <= possible and possible.isdisjoint((1001, 2000))
+
+
 def test_stats_need_no_order_within_groups(spark):
     photos = fixtures.photos(spark, SF)
     exact, near = groups.linked(spark, photos, fixtures.THRESHOLD, keep=groups.IMAGE[1:])
